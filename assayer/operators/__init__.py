@@ -1,0 +1 @@
+"""Operators on record tables, DataFrame to DataFrame."""

@@ -1,0 +1 @@
+"""Record files in, record files out."""
