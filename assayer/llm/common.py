@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand few rows to Python at a time, so that memory follows a batch of texts, not a partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, read by Spark from whatever store holds it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -224,19 +224,19 @@ def _digest(ids: np.ndarray, decoded: bytes) -> tuple:
 
 
 def _whole(ids: np.ndarray, decoded: bytes) -> tuple:
-    return ids.astype(np.int32), decoded.decode("utf-8", "replace")
+    return len(ids), ids.astype(np.int32), hashlib.sha256(decoded).hexdigest()
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded): the ids of every row's whole text with begin and end ids, and their decoding.
+    """(doc_id, n_tokens, ids, decoded_sha256): ids of every row's whole text with begin and end ids, digest of their decoding.
 
     A null text is an empty one: begin and end ids only. Spaces are marked and
     kept, a mark stands before the first character, characters without a piece
     become their bytes' ids. Rows stay one for one.
     """
-    return _apply(docs, model_file, id_col, text_col, _whole, "ids array<int>, decoded string")
+    return _apply(docs, model_file, id_col, text_col, _whole, "n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`encode`, with n_tokens, ids_sha256 and decoded_sha256 in place of ids and text."""
+    """As :func:`encode`, with ids_sha256 in place of the ids."""
     return _apply(docs, model_file, id_col, text_col, _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
