@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import media, rewards, text
 from ..operators import align, assemble, checks, metrics, resume
 from ..schemas import ROLES
+from ..shipping import ship
 from . import chat, modes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

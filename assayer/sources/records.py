@@ -83,8 +83,9 @@ def repair_truncated(spark: SparkSession, path: str, schema: str | T.StructType)
     last = rows.agg(F.max("pos").alias("last"))
     rows = rows.join(F.broadcast(last))  # one row
     torn = F.col("row").isNull() & (F.col("pos") == F.col("last")) & ~F.trim("value").rlike(r"(?s)^([\[\d\"].*[\]\d\"]|true|false|null)$")
-    rows = demand(rows.where(~torn), F.col("row").isNotNull(), F.concat(F.lit("broken line "), F.col("line").cast("string")))
-    return rows.select("pos", "row.*")
+    # One condition, as a filter that raises may run before another one.
+    broken = F.raise_error(F.concat(F.lit("broken line "), F.col("line").cast("string"))).cast("boolean")
+    return rows.where(F.when(torn, F.lit(False)).when(F.col("row").isNotNull(), F.lit(True)).otherwise(broken)).select("pos", "row.*")
 
 
 def read_indexed(spark: SparkSession, path: str, schema: str | T.StructType, key: str = "video_path") -> DataFrame:
