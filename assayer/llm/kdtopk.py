@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = TOP, id_col: str = "vec
         .withColumn("home", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(shards)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks)).cast("int"))
     )
-    schema = "query_id long, vec_id long, n long, score double, exact string"
+    schema = "query_id long, vec_id long, n long, about double, score long"
 
     def search(shard: pd.DataFrame, asked: pd.DataFrame) -> Iterator[tuple]:
         if not len(shard) or not len(asked):
@@ -158,10 +158,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = TOP, id_col: str = "vec
         bound = tree.bounds(q)
         for i, (own, kth) in enumerate(zip(asked["vec_id"], asked["kth"], strict=True)):
             for score, _, at in tree.search(q[i], own, bound[i], kth if exact or kth == -np.inf else int(kth), k):
-                yield own, ids[at], times[at], float(score), str(int(score))
+                yield own, ids[at], times[at], float(score), max(-(1 << 63), min((1 << 63) - 1, int(score)))
 
     def group(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(search(a, b)), columns=["query_id", "vec_id", "n", "score", "exact"])
+        return pd.DataFrame(list(search(a, b)), columns=["query_id", "vec_id", "n", "about", "score"])
 
     def fresh(df: DataFrame, *columns: str):
         """Grouped, under columns of their own: both sides come from one table."""
@@ -177,20 +177,17 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = TOP, id_col: str = "vec
     else:
         # A float of a large integer may be above it: such bounds are lowered a little.
         slack = 0.0 if exact else 1e-12
-        kth = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least"))
+        kth = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.min("about").alias("least"))
         least = F.when(F.col("c") >= k, F.col("least") - F.abs("least") * slack).otherwise(F.lit(float("-inf")))
         bounded = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select(
             "vec_id", "q", F.coalesce(least, F.lit(float("-inf"))).alias("kth"), "home", "block"
         )
         rest = meet(bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home"))
         found = seeds.unionByName(rest)
-    wide = F.col("exact").cast("decimal(38,0)")
-    long = F.least(F.greatest(wide, F.lit(-(1 << 63)).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("wide"), "vec_id")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("wide", wide)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
-        .select("query_id", F.row_number().over(by).alias("rank"), "vec_id", long.alias("score"))
+        found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))))
+        .select("query_id", F.row_number().over(by).alias("rank"), "vec_id", "score")
         .where(F.col("rank") <= k)
     )
 
