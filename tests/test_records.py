@@ -369,3 +369,86 @@ def test_stream_takes_each_file_once(spark, tmp_path):
             write(tmp_path / "in" / "b.jsonl", more)
         resumable.stream(spark, source, "video_path string", same, sink, point)
         assert spark.read.json(f"{sink}/batch=*").count() == n
+
+
+class Plain:
+    """Repeats what it is asked, without tags."""
+
+    def chat(self, messages):
+        return chat.Reply(f"merged {len(messages[-1]['content'])}", 2, 0.0)
+
+
+def reports(spark, rows, columns):
+    return spark.createDataFrame([(i, f"v{i}", *r) for i, r in enumerate(rows)], f"pos long, video_path string, label string, {columns}")
+
+
+def test_consolidation(spark):
+    from assayer.plans import workflows
+
+    manifest = spark.createDataFrame([(0, "v0", "fake"), (1, "v1", "real")], "pos long, video_path string, label string")
+    roles = ", ".join(f"{r}_response string" for r in assemble.ROLES)
+    a = reports(spark, [("fs", "t", "l", "m", "p"), ("", "t", "l", "m", "p")], roles)
+    b = reports(spark, [(None, "", "l", "m", "p"), ("real", "<error> x", "l", "m", "p")], roles)
+    got = {r["pos"]: r for r in workflows.consolidate_observations(manifest, {"a": a, "b": b}, Plain()).collect()}
+    assert got[0]["num_models_used"] == {"texture": 1, "lighting": 2, "motion": 2, "physics": 2} and set(got[1]["observations"]) == set(assemble.ROLES)
+    with pytest.raises(PySparkException):
+        workflows.consolidate_observations(manifest, {"a": a, "b": reports(spark, [("real", *"tlmp"), ("real", *"tlmp")], roles)}, Plain()).collect()
+    said = reports(spark, [("", "<explanation>e</explanation><answer>real</answer>"), ("", "<explanation>e</explanation><answer>real</answer>")], "response string")
+    seen = spark.createDataFrame([(0, *"tlmp"), (1, *"tlmp")], f"pos long, {', '.join(f'{r} string' for r in assemble.ROLES)}")
+    for policy, want in (("drop", ("", 0, True, True)), ("blind", ("merged", 1, True, False)), ("ground-truth", ("merged", 1, True, False))):
+        rows = {r["pos"]: r for r in workflows.consolidate_explanations(manifest, {"a": said}, policy, Plain(), seen).collect()}
+        text, used, wrong, dropped = want
+        assert rows[0]["aggregated_explanation"].startswith(text) and tuple(rows[0])[3:6] == (used, wrong, dropped)
+        assert tuple(rows[1])[3:6] == (1, False, False)
+
+
+def test_grading(spark):
+    from assayer.plans import workflows
+
+    refs = spark.createDataFrame([(0, "v0", "fake", "r0"), (1, "v1", "real", "r1")], "pos long, video_path string, label string, rationale string")
+    pred = lambda t: spark.createDataFrame([("v0", "fs", "fake", t), ("v1", "", "real", t)], "video_path string, label string, answer string, explanation string")
+    out = workflows.grade(refs, {"a": pred("x"), "b": pred("")}, "full", chat.Stub())
+    rows = {(r["model"], r["video_path"]): r for r in out.collect()}
+    assert len(rows) == 4 and all((r["score"] is None) == (k[0] == "b") == (r["error"] is not None) for k, r in rows.items())
+    done = out.where("model = 'a'").select("model", "video_path", "mode", "score")
+    assert workflows.grade(refs, {"a": pred("x"), "b": pred("")}, "full", chat.Stub(), done).count() == 2
+    with pytest.raises(PySparkException):
+        workflows.grade(refs, {"a": pred("x")}, "noanswer", chat.Stub(), done).collect()
+    with pytest.raises(PySparkException):
+        workflows.grade(refs, {"a": pred("x").where("video_path = 'v0'")}, "full", chat.Stub()).collect()
+
+
+def test_training_rows_and_media(spark, tmp_path):
+    from assayer.plans import workflows
+    from assayer.sources import media as files
+
+    folder = tmp_path / "frames" / "a" / "v0.mp4"
+    folder.mkdir(parents=True)
+    for i in (1, 2, 10):
+        (folder / f"f{i}.png").write_bytes(b"x")
+    (tmp_path / "videos").mkdir()
+    (tmp_path / "videos" / "v1.MP4").write_bytes(b"x")
+    seen = files.listing(spark, str(tmp_path))
+    rows = spark.createDataFrame([("videos/a/v0.mp4",), ("videos/v1.MP4",), ("videos/none.mp4",)], "video_path string")
+    got = {r["video_path"]: r for r in files.sampled_frames(files.locate(rows, seen, str(tmp_path)), seen, 2).collect()}
+    assert [p.rsplit("/", 1)[1] for p in got["videos/a/v0.mp4"]["frame_paths"]] == ["f1.png", "f10.png"]
+    assert got["videos/v1.MP4"]["video_file"].endswith("v1.MP4") and got["videos/none.mp4"]["media_kind"] is None
+    gold = spark.createDataFrame([(0, "v0", "efs", "why")], "pos long, video_path string, label string, explanation string")
+    parts = {r: spark.createDataFrame([(0, "v0", "fake", f"saw {r}")], f"pos long, video_path string, label string, {r} string") for r in assemble.ROLES}
+    joined = workflows.joined_reports(gold, parts)
+    judge = workflows.training_rows(joined, "judge").first()
+    assert judge["messages"][2]["content"] == "<explanation>\nwhy\n</explanation>\n<answer>fake</answer>"
+    assert "Motion analysis report:\nsaw motion\n\n" in judge["messages"][1]["content"]
+    assert workflows.training_rows(joined, "reinforce").first()["solution"] == "fake"
+    with_media = joined.withColumn("frame_paths", F.array(F.lit("f"))).withColumn("video_file", F.lit(None).cast("string"))
+    row = workflows.training_rows(with_media, "observer", role="motion").first()
+    assert row["messages"][2]["content"] == "<observation>\nsaw motion\n</observation>" and row["chat_template_kwargs"]["max_pixels"] == 65536
+
+
+def test_evaluate_a_file(spark, tmp_path):
+    from assayer.plans import workflows
+
+    path = write(tmp_path / "r.jsonl", '{"video_path": "a", "label": "real", "answer": "real", "source": "s"}\n{"video_path": "b", "label": "fs", "answer": "real"}\n')
+    report = workflows.evaluate(spark, path, str(tmp_path / "r_metrics.json"))
+    assert report.where("grp = 'overall'").first()["balanced_accuracy"] == 0.5
+    assert len(json.loads((tmp_path / "r_metrics.json").read_text())) == 2
