@@ -7,12 +7,15 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows handed to Python at once. Texts may be long, so batches stay small.
 ARROW_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
     """Hand few rows to Python at a time, so that memory follows a batch of texts, not a partition."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
