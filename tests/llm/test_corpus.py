@@ -384,6 +384,8 @@ def test_markup():
     <main><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four &lt;5&gt; &#233;</p><ul><li>x<li>y</ul><script>if (a<b) {}</script><!-- no -->
     <form>f<input></form><aside>s</aside><table><tr><td>1<td>2</table><section class="comments"><p>me too</p></section></main><footer>z</footer>"""
     assert sitetree.main_text(page) == "A & B\none two three\nfour <5> é\nx\ny\n1\n2"
+    wrapped = "<div class='page has-sidebar'><main><p>a</p><article class='comment'>no</article></main><div class='sidebar'>b</div></div>"
+    assert sitetree.main_text(wrapped) == "a"
     for odd in (None, "", "<", "<p", "plain", "</p></div>", "<script>never closed", "<!-- never closed", "<a href='>'>q</a>", "<" * 5000, "<div>" * 3000 + "deep"):
         sitetree.main_text(odd)
     assert sitetree.main_text("plain") == "plain" and sitetree.main_text(None) == ""
