@@ -80,7 +80,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        a list.
     2. Other anchors are extended both ways to the context that their windows
        span. Equal contexts meet in one aggregation (anchor, context) that
-       keeps the earliest; all others are repeats in whole.
+       keeps the earliest; all others are repeats in whole. Where the earliest
+       stand goes back to their documents.
     3. The windows of the earliest contexts meet by hash in the same way, so
        contexts that differ at one end still share what they have in common.
        The earliest start of each window goes back to its document.
@@ -89,8 +90,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All three exchanges are aggregations by hash with map-side combining: no
     group of copies and no common passage is gathered in a task. The texts are
-    dealt by id once, and that exchange serves all passes. Hashes are 64 bits,
-    and windows match on two of them (anchor and window).
+    dealt by id once, and that exchange serves all passes; what else moves is
+    hashes and places. Contexts match on two hashes of 64 bits, windows on one.
 
     Null texts have no words. Null ids order last and count as one id. Rows
     that repeat an id are the same place: windows at equal starts of such rows
@@ -124,29 +125,43 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for g in groups(text):
                 s = _Seeds(text[g])
                 pick = np.flatnonzero(s.repeated(alone[g]))
-                if not len(pick):
-                    continue
-                hashes = _long(s.windows())
-                head, tail = s.head[pick], s.tail[pick]
-                yield pd.DataFrame(
-                    {
-                        "anchor": _long(s.anchor[pick]),
-                        "context": _long(s.contexts()[pick]),
-                        "id": ids[g][s.anchor_doc[pick]],
-                        "start": s.offset[head],
-                        "windows": [hashes[i:j] for i, j in zip(head, tail, strict=True)],
-                    }
-                )
-
-    earliest = (
-        seeded.mapInPandas(contexts, "anchor long, context long, id long, start int, windows array<long>")
+                if len(pick):
+                    yield pd.DataFrame(
+                        {
+                            "anchor": _long(s.anchor[pick]),
+                            "context": _long(s.contexts()[pick]),
+                            "id": ids[g][s.anchor_doc[pick]],
+                            "start": s.offset[s.head[pick]],
+                        }
+                    )
+
+    heads = (
+        seeded.mapInPandas(contexts, "anchor long, context long, id long, start int")
         .groupBy("anchor", "context")
-        .agg(F.min(F.struct("id", "start", "windows")).alias("e"))
+        .agg(F.min(F.struct("id", "start")).alias("e"))
+        .groupBy("e.id")
+        .agg(F.collect_list("e.start").alias("heads"))
     )
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            text, ids, alone, heads = b["text"].tolist(), b["id"].to_numpy(), b["alone"].tolist(), b["heads"].tolist()
+            for g in groups(text):
+                s = _Seeds(text[g])
+                pick = s.repeated(alone[g])
+                cuts = np.searchsorted(s.anchor_doc, np.arange(len(text[g]) + 1))
+                first = s.offset[s.head]
+                for i, own in enumerate(heads[g]):
+                    pick[cuts[i] : cuts[i + 1]] &= np.isin(first[cuts[i] : cuts[i + 1]], own)
+                at = np.flatnonzero(np.repeat(pick, s.tail - s.head))
+                if len(at):
+                    yield pd.DataFrame({"window": _long(s.windows()[at]), "id": ids[g][s.doc[at]], "start": s.offset[at]})
+
     first = (
-        earliest.select("anchor", "e.id", "e.start", F.posexplode("e.windows").alias("k", "window"))
-        .groupBy("anchor", "window")
-        .agg(F.min(F.struct("id", (F.col("start") + F.col("k")).alias("start"))).alias("w"))
+        seeded.join(heads, "id")
+        .mapInPandas(windows, "window long, id long, start int")
+        .groupBy("window")
+        .agg(F.min(F.struct("id", "start")).alias("w"))
         .select("w.id", F.shiftleft(F.col("w.start").cast("long"), 32).bitwiseOR(F.col("window").bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"))
         .groupBy("id")
         .agg(F.collect_list("place").alias("firsts"))
