@@ -246,3 +246,8 @@ def numbered(blocks: Column, head) -> Column:
 
 def joined(parts: list[Column], sep: str = "\n\n") -> Column:
     return reduce(lambda a, b: F.concat(a, F.lit(sep), b), parts)
+
+
+def forwarded(args: Column) -> Column:
+    """Arguments to pass on: without a leading ``--``."""
+    return F.when(F.get(args, F.lit(0)) == "--", F.slice(args, 2, F.greatest(F.size(args) - 1, F.lit(0)))).otherwise(args)

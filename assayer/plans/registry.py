@@ -16,6 +16,8 @@ from ..functions import media, rewards, text
 from ..operators import align, assemble, checks, metrics, resume
 from ..schemas import ROLES
 from ..shipping import ship
+from ..sources import records as sources
+from ..sources import sinks
 from . import chat, modes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -839,6 +841,98 @@ def env_scalars(spark, sf_dir):
     return d.select("doc_id", text.int_or("number", -1).alias("number"), text.float_or("lang", 0.5).alias("share"))
 
 
+MODE = "CASE d.doc_id % 6 WHEN 0 THEN 'single' WHEN 1 THEN 'cot' WHEN 2 THEN 'multiturn' WHEN 3 THEN 'observer' WHEN 4 THEN 'judge' ELSE 'flagship' END"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN mode = 'observer' THEN doc_id % 4 <> 3 ELSE mode IN ('flagship', 'multiturn') END AS observers, mode <> 'observer' AS judge,
+mode <> 'judge' OR doc_id % 2 = 0 AS media FROM (SELECT d.doc_id, {MODE} AS mode FROM documents d)"""
+)
+def mode_needs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").alias("d").select("d.doc_id", F.expr(MODE).alias("mode"))
+    role = F.when(F.col("doc_id") % 4 == 3, F.lit("gaze")).otherwise(F.lit("motion"))
+    media_too = (F.col("mode") != "judge") | (F.col("doc_id") % 2 == 0)
+    return d.select("doc_id", text.required_adapters("mode", role).alias("a"), media_too.alias("media")).select("doc_id", "a.*", "media")
+
+
+@query(
+    f"""WITH p AS (SELECT d.doc_id, {PATH} AS p FROM documents d),
+c AS (SELECT doc_id, CASE WHEN starts_with(p, '/') THEN [p] WHEN starts_with(p, 'videos/') THEN ['/r/frames/' || substr(p, 8), '/r/' || p, '/r/' || p, '/r/frames/' || p]
+  ELSE ['/r/' || p, '/r/frames/' || p] END AS paths FROM p)
+SELECT doc_id, unnest(range(len(paths)))::INTEGER AS rank, unnest(paths) AS path FROM c"""
+)
+def media_candidates(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").alias("d").select("d.doc_id", F.expr(PATH).alias("p"))
+    return d.select("doc_id", F.posexplode(media.media_candidates("p", "/r")).alias("rank", "path"))
+
+
+@query(
+    """SELECT doc_id, 0 AS i, 'text' AS type, '[frame 1/2]' AS text, NULL::VARCHAR AS url FROM documents
+UNION ALL SELECT doc_id, 1, 'image_url', NULL, 'data:image/jpeg;base64,' || to_base64(encode(source)) FROM documents
+UNION ALL SELECT doc_id, 2, 'text', '[frame 2/2]', NULL FROM documents
+UNION ALL SELECT doc_id, 3, 'image_url', NULL, 'data:image/jpeg;base64,' || to_base64(encode(lang)) FROM documents
+UNION ALL SELECT doc_id, 4, 'text', 'look at ' || source, NULL FROM documents"""
+)
+def frame_blocks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    uris = F.array(media.data_uri(F.col("source").cast("binary")), media.data_uri(F.col("lang").cast("binary")))
+    parts = media.content_with_frames(F.concat(F.lit("look at "), F.col("source")), media.frame_blocks(uris))
+    return d.select("doc_id", F.posexplode(parts).alias("i", "p")).select("doc_id", "i", "p.type", "p.text", F.col("p.image_url.url").alias("url"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'why' ELSE lang || chr(10) || source END AS content FROM documents")
+def content_parts(spark, sf_dir):
+    part = lambda c: F.struct(F.lit("text").alias("type"), F.col(c).alias("text"))
+    none = F.array().cast("array<struct<type: string, text: string>>")
+    parts = F.when(F.col("doc_id") % 3 == 0, none).otherwise(F.array(part("lang"), part("source")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_text(parts, F.lit("why")).alias("content"))
+
+
+@query(
+    f"""{WITH_R}, m AS (SELECT * FROM {MODELS} AS t(i, name)), a AS (SELECT *, {q_binary('label')} AS gold FROM ({ANNOTATED}))
+SELECT pos, gold, count(*) FILTER (WHERE answer <> '')::INTEGER AS n_answers, bool_or(answer = gold) AS any_right, NOT bool_or(answer = gold) AS all_wrong FROM a GROUP BY pos, gold"""
+)
+def annotator_flags(spark, sf_dir):
+    rows = _annotated(spark, sf_dir, F.lit(True))
+    right = F.exists("reports", lambda x: x["answer"] == F.col("gold"))
+    return rows.select("pos", "gold", F.size(F.filter("reports", lambda x: x["answer"] != "")).alias("n_answers"), right.alias("any_right"), (~right).alias("all_wrong"))
+
+
+@query("SELECT doc_id, len(a)::INTEGER AS n, a[1] AS lead FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [lang, source] ELSE [source] END AS a FROM documents)")
+def forwarded_args(spark, sf_dir):
+    args = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("--"), "lang", "source")).otherwise(F.array("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.forwarded(args).alias("a")).select("doc_id", F.size("a").alias("n"), F.get("a", F.lit(0)).alias("lead"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, or in a temporary one where none is named."""
+    import tempfile
+    import uuid
+
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
+    return f"{named}/{uuid.uuid4().hex}"
+
+
+@query(f"{WITH_R} SELECT pos, video_path, label, answer FROM r")
+def json_roundtrip(spark, sf_dir):
+    """Records written as one JSONL file and read again, in order."""
+    path = f"{_scratch(spark)}/records.jsonl"
+    sinks.write_records(records(spark, sf_dir).select("pos", "video_path", "label", "answer"), path)
+    return sources.read_records(spark, path, "video_path string, label string, answer string")
+
+
+@query(f"{WITH_R}, n AS (SELECT max(pos) AS last FROM r) SELECT pos, video_path FROM r, n WHERE pos < last")
+def jsonl_repair(spark, sf_dir):
+    """A log whose last line is cut off, without that line."""
+    path = f"{_scratch(spark)}/log.jsonl"
+    r = records(spark, sf_dir).select("pos", F.to_json(F.struct("video_path")).alias("value"))
+    last = r.agg(F.max("pos").alias("last"))
+    torn = F.when(F.col("pos") == F.col("last"), F.substring("value", 1, 9)).otherwise(F.col("value"))
+    lines = r.join(F.broadcast(last)).select("pos", torn.alias("value")).orderBy("pos").select("value")
+    lines.coalesce(1).write.text(path)
+    return sources.repair_truncated(spark, path, "video_path string")
+
+
 # --- rows only ------------------------------------------------------------------
 
 

@@ -244,6 +244,16 @@ def test_scans(spark, tmp_path):
     assert records.read_records(spark, write(tmp_path / "e.jsonl", " \n \n"), SCHEMA).count() == 0
 
 
+def test_positions_over_many_parts(spark, tmp_path):
+    (tmp_path / "many.jsonl").mkdir()
+    for k in range(7):
+        write(tmp_path / "many.jsonl" / f"part-{k}.jsonl", "".join(f'{{"video_path": "{k}-{i}"}}\n\n' for i in range(k)))
+    got = records.read_jsonl(spark, str(tmp_path / "many.jsonl"), SCHEMA).collect()
+    assert sorted(r["pos"] for r in got) == list(range(21))
+    by = {r["pos"]: r["video_path"].split("-") for r in got}
+    assert all(int(by[p + 1][1]) == int(by[p][1]) + 1 for p in range(20) if by[p][0] == by[p + 1][0])
+
+
 @pytest.mark.parametrize(
     ("name", "content"),
     [("s.jsonl", '{"video_path": "v"}\n5\n'), ("x.jsonl", '{"video_path": "v"}\n[{"video_path": "w"}]\n'), ("b.jsonl", '{"video_path"\n{"video_path": "v"}\n'), ("u.json", '[{"video_path": "v"}')],
