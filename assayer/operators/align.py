@@ -70,8 +70,8 @@ def select_sample(rows: DataFrame, sample: DataFrame, key: str) -> DataFrame:
 
 
 def tasks(models: DataFrame, selected: DataFrame) -> DataFrame:
-    """The work list: every model with every selected row. Models are few."""
-    return F.broadcast(models).crossJoin(selected)
+    """The work list: every model with every selected row. Which side travels is left to Spark's size estimates."""
+    return models.crossJoin(selected)
 
 
 def pending_after_prefix(manifest: DataFrame, done: DataFrame, key: str = "video_path") -> DataFrame:
