@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,9 @@ UNLABELLED_ROWS = 6000  # other documents, at most
 MARKS = 2048  # features, at most
 PREFIXES = (4, 5, 6, 7)  # characters of the beginnings of words that are features, too
 LEAST_ODDS = 3.0  # how much more frequent a feature is in toxic documents than in others
+LEAST_SHARE = 0.01  # of the toxic documents that have it, so that a few copies' words are none
 LEAST_CHI2 = 25.0  # and how sure that is
+LONG = 9  # letters of a long word
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -33,6 +37,13 @@ def marks(text: str | None) -> set[str]:
     return out
 
 
+def sign(text: str | None) -> int:
+    """A value that near copies mostly share: the smallest hash of the long words, which are rare; of all if there are none."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    long = [w for w in words if len(w) >= LONG]
+    return min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in long), default=zlib.crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass")))
+
+
 def chosen_marks(ranked: list[str]) -> list[str]:
     """Of marks, best first, those that aren't the beginning or the continuation of a better one."""
     out: list[str] = []
@@ -118,15 +129,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "bad": b["bad"], "words": [list(marks(t)) for t in b["text"]]})
+            yield pd.DataFrame(
+                {"id": b["id"], "bad": b["bad"], "words": [sorted(marks(t)) for t in b["text"]], "sign": [sign(t) for t in b["text"]]}
+            )
 
     sample = cut(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("chosen"))  # POSITIVE_ROWS + UNLABELLED_ROWS ids at most
         .select("id", "bad", "text")
-        .mapInPandas(sets, "id long, bad boolean, words array<string>")
-        .withColumn("words", F.array_sort("words"))
-        .dropDuplicates(["bad", "words"])  # copies tell no more than one of them
+        .mapInPandas(sets, "id long, bad boolean, words array<string>, sign long")
+        .groupBy("bad", "sign")
+        .agg(F.min(F.struct("id", "words")).alias("one"))  # copies tell no more than one of them
+        .select("one.id", "bad", "one.words")
     )
     size = {r["bad"]: r["n"] for r in sample.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     np_, nu = size.get(True, 0), size.get(False, 0)
@@ -138,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sample.select("bad", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.sum(F.col("bad").cast("long")).alias("a"), F.sum((~F.col("bad")).cast("long")).alias("b"))
-        .where((F.col("a") >= 3) & ((a + 0.5) / (np_ + 1) > LEAST_ODDS * (b + 0.5) / (nu + 1)))
+        .where((F.col("a") >= max(3, math.ceil(LEAST_SHARE * np_))) & ((a + 0.5) / (np_ + 1) > LEAST_ODDS * (b + 0.5) / (nu + 1)))
         .withColumn("chi2", chi2)
         .where(F.col("chi2") >= LEAST_CHI2)
     )
