@@ -106,7 +106,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the documents whose id's crc32 modulo 5 is not 0 and whose language is known.
 
     It is fitted on a bounded sample, by hash of the id: TRAIN_EACH documents a
-    language and TRAIN_ROWS in all, at most. Their features, not their texts,
+    language and TRAIN_ROWS in all, at most, of the TRAIN_ROWS most frequent
+    languages. Their features, not their texts,
     come to the driver.
     """
     from pyspark.sql import Window
@@ -114,7 +115,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(id_col, 5) != 0))
     by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "id"), "id")
     ranked = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).distinct()
-    few = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= TRAIN_EACH)
+    # Of a frequent language a hash lets about 2 * TRAIN_EACH rows through, so none is gathered.
+    counts = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_ROWS)
+    drawn = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) * F.col("n").cast("double") < F.lit(2.0 * TRAIN_EACH * (1 << 30))
+    some = ranked.join(F.broadcast(counts), "lang").where(drawn)  # TRAIN_ROWS languages at most
+    few = some.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= TRAIN_EACH)
     chosen = [r["id"] for r in sampled(few.select("id"), TRAIN_ROWS, "id").collect()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
