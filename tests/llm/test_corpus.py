@@ -134,6 +134,37 @@ def test_vector_links_and_recall(spark):
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in ids)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_recall_beside_a_group_of_copies(spark, monkeypatch, block):
+    """A third of the rows are one vector: links between all others are found as well, whether cells are visited or all balls meet."""
+    monkeypatch.setattr(imi, "BLOCK", block)
+    monkeypatch.setattr(imi, "PER_CELL", 0.2)  # a grid as fine, and fitted on as small a share, as far larger tables have
+    monkeypatch.setattr(imi, "FIT_ROWS", 600)
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, side = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    cos = rng.uniform(0.9, 0.91, (1000, 1))
+    rows = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * side, np.tile(unit(rng.normal(size=64)), (1000, 1))])
+    rows = [(int(i), [float(np.float32(v)) for v in rows[j]]) for i, j in enumerate(rng.permutation(len(rows)))]
+    got = {r["vec_id"]: r["n_links"] for r in imi.near_duplicates(vectors(spark, rows)).collect()}
+    ids, near = brute_links(rows)
+    want = dict(zip(ids, near.sum(1).tolist(), strict=True))
+    assert all(got[i] <= want[i] for i in ids) and all(got[i] == want[i] for i in ids if want[i] > 900)
+    few = [i for i in ids if want[i] < 900]
+    assert sum(got[i] for i in few) >= 0.98 * sum(want[i] for i in few)
+
+
+def test_visits_have_a_vote_a_ball():
+    """A ball with many links in near cells doesn't outvote one whose link lies far off; without links the least number does."""
+    assert imi.needed([(0, 1, 10**6), (1, 700, 1)]) == 700
+    assert imi.needed([(0, 1, 5), (1, 3, 1)]) == imi.needed([]) == imi.CELLS[0]
+    index = imi.Index(6, (np.random.default_rng(2).normal(size=(7, 3)), np.random.default_rng(3).normal(size=(5, 3))))
+    x = np.random.default_rng(4).normal(size=(20, 6))
+    for place in (0, 6, 34):
+        assert (index.place(x, index.traverse(x, 35)[:, place]) == place).all()
+
+
 def test_vector_links_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, inf]), (6, [1.0, None]), (7, [3e38, 1e38]), (8, [3.0, 1.0]), (9, [3.0, 1.0, 0.0]), (9, [3.0, 1.0, 0.0]), (10, [-3.0, -1.0]), (None, [3.0, 1.0])]
