@@ -22,10 +22,11 @@ PREFIXES = (4, 5, 6, 7)  # characters of the beginnings of words that are featur
 LEAST_ODDS = 3.0  # how much more frequent a feature is in toxic documents than in others
 LEAST_SHARE = 0.01  # of the toxic documents that have it, so that a few copies' words are none
 LEAST_CHI2 = 25.0  # and how sure that is
-LONG = 9  # letters of a long word
+LIKE = 0.8  # Jaccard similarity of the words of near copies
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def marks(text: str | None) -> set[str]:
@@ -38,10 +39,25 @@ def marks(text: str | None) -> set[str]:
 
 
 def sign(text: str | None) -> int:
-    """A value that near copies mostly share: the smallest hash of the long words, which are rare; of all if there are none."""
+    """A value that near copies mostly share, and other documents rarely: four min-hashes of the words, all in one."""
     words = set(_WORD.findall(text.lower())) if text else set()
-    long = [w for w in words if len(w) >= LONG]
-    return min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in long), default=zlib.crc32(" ".join(sorted(words)).encode("utf-8", "surrogatepass")))
+    if not words:
+        return 0
+    h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)[:, None] * _TURNS
+    return zlib.crc32((h ^ (h >> np.uint64(32))).min(0).tobytes())
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Of documents (id, bad, words, sign), those that are no near copies: copies tell no more than one of them.
+
+    Documents of one sign go only if their words, beginnings aside, are in fact
+    like those of the first: a shared sign alone drops none.
+    """
+    rows = cut(rows.distinct())
+    first = rows.groupBy("bad", "sign").agg(F.min(F.struct("id", "words")).alias("one"))
+    a, b = (F.filter(c, lambda w: ~w.endswith("*")) for c in ("words", "one.words"))
+    other = F.size(F.array_intersect(a, b)) < LIKE * F.size(F.array_union(a, b))
+    return rows.join(first, ["bad", "sign"]).where(other | (F.struct("id", "words") == F.col("one"))).select("id", "bad", "words")
 
 
 def chosen_marks(ranked: list[str]) -> list[str]:
@@ -134,13 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             )
 
     sample = cut(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(chosen), F.col("id") == F.col("chosen"))  # POSITIVE_ROWS + UNLABELLED_ROWS ids at most
-        .select("id", "bad", "text")
-        .mapInPandas(sets, "id long, bad boolean, words array<string>, sign long")
-        .groupBy("bad", "sign")
-        .agg(F.min(F.struct("id", "words")).alias("one"))  # copies tell no more than one of them
-        .select("one.id", "bad", "one.words")
+        once(
+            docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(chosen), F.col("id") == F.col("chosen"))  # POSITIVE_ROWS + UNLABELLED_ROWS ids at most
+            .select("id", "bad", "text")
+            .mapInPandas(sets, "id long, bad boolean, words array<string>, sign long")
+        )
     )
     size = {r["bad"]: r["n"] for r in sample.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     np_, nu = size.get(True, 0), size.get(False, 0)

@@ -298,6 +298,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.merge(english).predicted.mean() >= 0.75
 
 
+def test_toxic_documents_that_share_a_word_all_count(spark):
+    """The only long word is in all documents: unlike ones stay in the training sample all the same, copies count once."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(800)]
+    text = lambda *more: " ".join(["thanedble", *more, *rng.sample(vocabulary, 25)])
+    copy = text("idiot", "qqcopy")
+    texts = [text("idiot") for _ in range(120)] + [copy] * 120 + [text() for _ in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i < 240)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    weights = toxicity.train(docs_of(spark, texts), labels).weights
+    assert any("idiot".startswith(w.rstrip("*")) for w in weights) and not any(w.startswith("qqco") for w in weights)
+    rows = [(i, True, sorted(toxicity.marks(t)), 7) for i, t in enumerate([copy, text("idiot"), copy, text("idiot"), copy + " more"])]
+    assert sorted(r["id"] for r in toxicity.once(spark.createDataFrame(rows, "id long, bad boolean, words array<string>, sign long")).collect()) == [0, 1, 3]
+
+
 def test_non_negative_risk_finds_the_positives():
     rng = np.random.default_rng(6)
     sign = lambda n, p: (rng.random((n, 20)) < p).astype(float)
