@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, sampled
+from .common import fold_of
 
 BUCKETS = 4096  # hashed byte n-grams
 TRAIN_ROWS = 4000  # labelled documents that a model is fitted on, at most
@@ -107,8 +107,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     It is fitted on a bounded sample, by hash of the id: TRAIN_EACH documents a
     language and TRAIN_ROWS in all, at most, of the TRAIN_ROWS most frequent
-    languages. Their features, not their texts,
-    come to the driver.
+    languages. Where these are more than TRAIN_ROWS, every language has its
+    first rows before any has more. Their features, not their texts, come to
+    the driver.
     """
     from pyspark.sql import Window
 
@@ -120,16 +121,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     drawn = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 30)) * F.col("n").cast("double") < F.lit(2.0 * TRAIN_EACH * (1 << 30))
     some = ranked.join(F.broadcast(counts), "lang").where(drawn)  # TRAIN_ROWS languages at most
     few = some.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= TRAIN_EACH)
-    chosen = [r["id"] for r in sampled(few.select("id"), TRAIN_ROWS, "id").collect()]
+    chosen = [(r["id"], r["lang"]) for r in few.orderBy("rank", F.xxhash64(F.lit(7), "id"), "id", "lang").limit(TRAIN_ROWS).select("id", "lang").collect()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "x": [features(t).astype(np.float16).tobytes() for t in b["text"]]})
 
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "chosen long")
+    ids = docs.sparkSession.createDataFrame(chosen, "chosen long, of string")
     rows = (
         known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
-        .join(F.broadcast(ids), F.col("id") == F.col("chosen"), "left_semi")  # TRAIN_ROWS ids at most
+        .join(F.broadcast(ids), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("of")), "left_semi")  # TRAIN_ROWS ids at most
         .mapInPandas(run, "id long, lang string, x binary")
         .dropDuplicates(["id", "lang"])
         .collect()

@@ -328,6 +328,14 @@ def test_language_on_held_out_rows(spark):
     assert (held.lang == held.lang_pred).mean() >= 0.97 and got.score.between(0, 1).all()
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """Fewer training rows than the frequent languages have: those with a handful keep theirs."""
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 60)
+    langs = [f"l{i}" for i in range(10) for _ in range(60)] + [f"rare{i}" for i in range(6) for _ in range(4)]
+    docs = spark.createDataFrame([(i, f"{v} {v}word", v, "s", 9) for i, v in enumerate(langs)], DOCS)
+    assert langid.train(docs).langs == sorted(set(langs))
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 6, 9, 30])
 def test_codewords_differ(n):
     code = langid.codewords(n)
