@@ -200,15 +200,16 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
     """The blocks of a page that are neither noise by markup nor in a branch of low importance, a line each.
 
-    Where a page has an article or main element with text, only that counts,
-    and its branches stay whatever their importance: what pages share there are
-    copies of an article.
+    Where a page has an article or main element with text, only that counts.
+    Its branches of low importance go only if those that stay hold the larger
+    part of its text; else what pages share there are copies of an article.
     """
     blocks = [b for b in parse(source).blocks if not b[2]]
     inner = [b for b in blocks if b[3]]
-    if inner:
-        return "\n".join(text for _, text, _, _ in inner)
-    return "\n".join(text for path, text, _, _ in blocks if not any(path == p or path.startswith(p + "/") for p in low))
+    told = [b for b in inner or blocks if not any(b[0] == p or b[0].startswith(p + "/") for p in low)]
+    if inner and 2 * sum(len(b[1]) for b in told) <= sum(len(b[1]) for b in inner):
+        told = inner
+    return "\n".join(text for _, text, _, _ in told)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

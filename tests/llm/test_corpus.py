@@ -456,6 +456,16 @@ def test_branches_that_a_site_repeats_go(spark):
     assert sitetree.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_branches_inside_an_article(spark):
+    """A box that a site repeats inside its articles goes; copies of an article stay, also under titles of their own."""
+    boxed = "<article><h1>Title {0}</h1><p>story {0} tells {0} things at some length</p><div class='box'><p>Read us daily</p></div></article>"
+    copied = "<main><h1>No {0}</h1><p>one article that all pages of the site have</p></main>"
+    rows = [(i, f"http://{h}.example.com/{i}", page.format(i)) for h, page, start in (("a", boxed, 0), ("b", copied, 100)) for i in range(start, start + 20)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nstory {i} tells {i} things at some length" for i in range(20))
+    assert all(got[i] == f"No {i}\none article that all pages of the site have" for i in range(100, 120))
+
+
 # --- op9 --------------------------------------------------------------------------
 
 
