@@ -3,42 +3,83 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Rows handed to Python at once. Texts may be long, so batches stay small.
-ARROW_ROWS = 256
+#: Rows and bytes handed to Python at once, at most, unless the session says otherwise. One longer row goes alone.
+ARROW_LIMITS = {"maxRecordsPerBatch": ("10000", "256"), "maxBytesPerBatch": (str(64 << 20) + "b", str(8 << 20) + "b")}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand few rows to Python at a time, so that memory follows a batch of texts, not a partition."""
+def ready(spark: SparkSession) -> SparkSession:
+    """Makes the session fit for Python functions over long texts; every operator calls it.
+
+    Executors get the package, and memory follows a small batch of texts
+    rather than a partition. Both settings stay in the session, as plans run
+    after the operator has returned; values that the caller chose are left.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, (default, ours) in ARROW_LIMITS.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, read by Spark from whatever store holds it."""
-    small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where none is named (tests), a temporary one."""
+def small_batches(spark: SparkSession) -> None:
+    ready(spark)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that spark.checkpoint.dir names; a temporary one only where none is named and Spark is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayer-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: later jobs don't repeat its work."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`cut`, as compressed Parquet of known size, so that Catalyst may broadcast it if it is small.
+
+    The folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def drop_kept(df: DataFrame) -> None:
+    """Deletes the folder of a table that :func:`kept` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold_of(key: str, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus`` (null keys count as the empty text)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
