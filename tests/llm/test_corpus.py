@@ -480,24 +480,84 @@ def test_markup():
     page = """<html><head><title>t</title><style>p{}</style></head><body><header>h</header><nav>n</nav><div id="cookie-notice">c</div>
     <main><h1>A &amp; B</h1><p>one <b>two</b><br>three<p>four &lt;5&gt; &#233;</p><ul><li>x<li>y</ul><script>if (a<b) {}</script><!-- no -->
     <form>f<input></form><aside>s</aside><table><tr><td>1<td>2</table><section class="comments"><p>me too</p></section></main><footer>z</footer>"""
-    assert sitetree.main_text(page) == "A & B\none two three\nfour <5> é\nx\ny\n1\n2"
+    text = lambda source: sitetree.page_text(sitetree.parse(source))
+    assert text(page) == "A & B\none two three\nfour <5> é\nx\ny\n1\n2"
     wrapped = "<div class='page has-sidebar'><main><p>a</p><article class='comment'>no</article></main><div class='sidebar'>b</div></div>"
-    assert sitetree.main_text(wrapped) == "a"
+    assert text(wrapped) == "a"
     for odd in (None, "", "<", "<p", "plain", "</p></div>", "<script>never closed", "<!-- never closed", "<a href='>'>q</a>", "<" * 5000, "<div>" * 3000 + "deep"):
-        sitetree.main_text(odd)
-    assert sitetree.main_text("plain") == "plain" and sitetree.main_text(None) == ""
+        text(odd)
+    assert text("plain") == "plain" and text(None) == "" and text("a <b c='x>y' d=\">\">z</b> < 5 <!x><p e=\"f>g") == "a z < 5\ng"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    for source in (
+        "<a " * 300_000, "<a x='" * 100_001, "<!" * 300_000, "<div>" * 100_000 + "deep", "<b>" * 100_000 + "x<i>y</i>" * 20_000, "<p><select>" + "<blockquote>" * 100_000,
+        "<div>" * 50_000 + "</span>" * 50_000, "<article><b>" + "</b><b>" * 100_000, "<p>word " * 100_000, "<article>" + "x" * 3_000_000,
+    ):
+        began = time.perf_counter()
+        sitetree.page_text(sitetree.parse(source))
+        assert time.perf_counter() - began < 8, source[:20]
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+STORY = "<body><div class='top'>Welcome to us</div><div class='story'><p>story {0} tells {0} things</p></div><div class='end'>Call us</div></body>"
 
 
 def test_branches_that_a_site_repeats_go(spark):
-    page = "<body><div class='top'>Welcome to us</div><div class='story'><p>story {0} tells {0} things</p></div><div class='end'>Call us</div></body>"
-    rows = [(i, "http://Site.example.com:80/a", page.format(i)) for i in range(20)] + [(90, "http://b.example.com/", page.format("b")), (91, None, None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
-    assert all(got[i] == f"story {i} tells {i} things" for i in range(20))
+    """Sites of 20 and of 3 pages lose what all their pages say; one page alone, or a site of copies, loses nothing."""
+    rows = [(i, "http://Site.example.com:80/a", STORY.format(i)) for i in range(20)] + [(90, "http://b.example.com/", STORY.format("b")), (91, None, None)]
+    rows += [(i, "http://c.example.com/", STORY.format(i)) for i in range(200, 203)] + [(i, "http://d.example.com/", STORY.format("same")) for i in range(300, 310)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(pages_of(spark, rows)).collect()}
+    assert all(got[i] == f"story {i} tells {i} things" for i in (*range(20), *range(200, 203)))
     assert got[90] == "Welcome to us\nstory b tells b things\nCall us" and got[91] == ""
-    tree = {r["path"]: (r["pages"], r["importance"]) for r in sitetree.importance(df).where("host = 'site.example.com'").collect()}
-    assert tree["/body/div.top"] == (20, pytest.approx(0)) and tree["/body/div.story/p"] == (20, 1)
-    assert sitetree.extract(df.limit(0)).count() == 0
+    assert {got[i] for i in range(300, 310)} == {"Welcome to us\nstory same tells same things\nCall us"}
+    assert sitetree.extract(pages_of(spark, rows).limit(0)).count() == 0
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(4)
+    sources = [
+        "<body><ul class='menu'>" + "".join(f"<li>{w}</li>" for w in ("Home", "News", rng.choice("AB"))) + f"</ul><div class='x'>{'<p>' + str(i) + '</p>' if i % 2 else '<em>only</em> once'}</div></body>"
+        for i in range(12)
+    ]
+    sources += sources[:1] * 5  # copies count once
+    got = {}
+    tree = sitetree.importance(sitetree.parsed(pages_of(spark, [(i, "http://a.example.com", s) for i, s in enumerate(sources)])))
+    for r in tree.collect():
+        got[r["path"]] = (r["pages"], r["content"], r["presentation"])
+    facts, seen = Counter(), set()
+    for s in sources:
+        p = sitetree.parse(s)
+        said = "\n".join(t for _, t, _ in p.blocks)
+        if said not in seen:
+            seen.add(said)
+            facts.update(p.facts())
+    for path in {f[0] for f in facts}:
+        m = facts[(path, 0, 0)]
+        says = [c for (p, k, _), c in facts.items() if p == path and k == 1]
+        laid = [c for (p, k, _), c in facts.items() if p == path and k == 2]
+        content = (1 - np.mean(np.log(says)) / np.log(m) if m > 1 else 1.0) if says else None
+        shown = min(1.0, -sum(c / sum(laid) * np.log(c / sum(laid)) for c in laid) / np.log(m)) if m > 1 else 1.0
+        assert got[path][0] == m and got[path][2] == pytest.approx(shown, abs=1e-9)
+        assert got[path][1] == (content if content is None else pytest.approx(content, abs=1e-9))
+
+
+def test_the_tree_alone_finds_menus(spark):
+    """Without any list of tags and names, menus, notices and footers of a site go and its articles stay whole."""
+    rng = random.Random(7)
+    body = lambda: "".join(f"<p>{' '.join(rng.choices('abcdefghijklmnop', k=9))} {rng.random()}</p>" for _ in range(rng.randint(2, 6)))
+    stories = [body() for _ in range(60)]
+    page = "<html><head><title>Site</title></head><body><nav><ul>{0}</ul></nav><div class='cookie'>We use cookies</div><article><h1>T{1}</h1>{2}</article><footer>All rights reserved</footer></body></html>"
+    menu = lambda i: "".join(f"<li{' class=on' if k == i % 5 else ''}><a href='/{k}'>Part {k}</a></li>" for k in range(5))
+    bare = sitetree.Markup(frozenset(("title",)), frozenset(), frozenset(), frozenset())
+    got = sitetree.extract(pages_of(spark, [(i, "http://news.example.com/", page.format(menu(i), i, s)) for i, s in enumerate(stories)]), markup=bare).collect()
+    for r in got:
+        assert r["text"] == "\n".join([f"T{r['page_id']}", *re.findall("<p>(.*?)</p>", stories[r["page_id"]])])
 
 
 def test_repeated_branches_inside_an_article(spark):
@@ -505,11 +565,24 @@ def test_repeated_branches_inside_an_article(spark):
     boxed = "<article><h1>Title {0}</h1><p>story {0} tells {0} things at some length</p><div class='box'><p>Read us daily</p></div></article>"
     copied = "<main><h1>No {0}</h1><p>one article that all pages of the site have</p></main>"
     rows = [(i, f"http://{h}.example.com/{i}", page.format(i)) for h, page, start in (("a", boxed, 0), ("b", copied, 100)) for i in range(start, start + 20)]
-    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(pages_of(spark, rows)).collect()}
     assert all(got[i] == f"Title {i}\nstory {i} tells {i} things at some length" for i in range(20))
     assert all(got[i] == f"No {i}\none article that all pages of the site have" for i in range(100, 120))
 
 
+def test_odd_pages(spark, monkeypatch):
+    """Repeated rows and ids, null ids, urls and html, long pages, other columns of the same names as those inside, a site in parts."""
+    monkeypatch.setattr(sitetree, "PAGES_A_PART", 7)
+    long = "<article>" + "<p>a long one</p>" * 3000 + "</article>"
+    rows = [(i, "http://a.example.com", STORY.format(i)) for i in range(20)]
+    rows += [(0, "http://a.example.com", STORY.format(0))] * 2 + [(None, "http://a.example.com", STORY.format("none")), (50, "", long), (51, None, "<p>x"), (52, "no url", None), (53, "http://a.example.com", "")]
+    df = spark.createDataFrame([r + ("u", "l", 3) for r in rows], "page_id long, url string, html string, uid string, low string, part int")
+    got = Counter((r["page_id"], r["text"]) for r in sitetree.extract(df).collect())
+    want = Counter({(i, f"story {i} tells {i} things"): 1 for i in range(1, 20)})
+    want += Counter({(0, "story 0 tells 0 things"): 3, (None, "story none tells none things"): 1, (50, "\n".join(["a long one"] * 3000)): 1, (51, "x"): 1, (52, ""): 1, (53, ""): 1})
+    assert got == want
+
+
 # --- op9 --------------------------------------------------------------------------
 
 
