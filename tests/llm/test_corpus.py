@@ -197,6 +197,7 @@ def test_multi_sequence_order():
 
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(kdtopk, "SHARD_ROWS", 100)
+    monkeypatch.setattr(kdtopk, "SPLIT_ROWS", 16)  # fewer regions than shards, so that regions have parts
     monkeypatch.setattr(kdtopk, "BLOCK_ROWS", 3)
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(np.float32(v)) for v in rng.integers(-3, 4, 4) / 4]) for i in range(700)]  # many ties
@@ -210,8 +211,46 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert set(got) == set(range(0, 700, 100))
 
 
+def brute_top(rows, every=100, k=10):
+    q = {i: np.floor(1024 * np.array(v, np.float64)).astype(int) for i, v in rows}
+    return {i: [(n + 1, j, -s) for n, (s, j) in enumerate(sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:k])] for i in q if i % every == 0}
+
+
+def by_query(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {i: sorted(v) for i, v in got.items()}
+
+
+def clustered(n, seed=3):
+    """Vectors in 32 clusters, one in each corner of a cube, with a third of all being one vector."""
+    rng = np.random.default_rng(seed)
+    x = np.where((rng.integers(0, 32, n)[:, None] >> np.arange(5)) & 1, 3.0, -3.0) + 0.05 * rng.normal(size=(n, 5))
+    x[np.arange(n) % 3 == 1] = x[0]
+    return [(int(i), [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+
+
+def test_queries_visit_few_shards(spark, monkeypatch):
+    """With four times the vectors, and so the queries, what is routed grows about as much, not with their product; results are exact."""
+    monkeypatch.setattr(kdtopk, "SHARD_ROWS", 50)
+    monkeypatch.setattr(kdtopk, "BLOCK_ROWS", 16)
+    rows = clustered(4000)
+    assert by_query(kdtopk.top_k(vectors(spark, rows[:1000]), every=20)) == brute_top(rows[:1000], 20)
+    sent = []
+    for n in (1000, 4000):
+        built = kdtopk.shards(vectors(spark, rows[:n]))
+        asked = built.rows.where("vec_id % 20 = 0 and vec_id % 3 <> 1").select("vec_id", F.xxhash64("x").alias("sign"), "x")
+        seeds = kdtopk.visit(kdtopk.routes(asked.withColumn("kth", F.lit(float("-inf"))), built, 1, True), built, 10)
+        assert built.count >= n / 50
+        sent.append(kdtopk.routes(kdtopk.bounded(asked, seeds, 10), built, 1, False).count() / asked.count() / built.count)
+    assert sent[1] <= 1.1 * sent[0] and sent[1] < 0.5
+
+
 def test_top_k_on_odd_rows(spark):
     nan = float("nan")
+    twice = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0])]
+    assert sorted((r["query_id"], r["rank"], r["score"] >> 20) for r in kdtopk.top_k(vectors(spark, twice)).collect()) == [(0, 1, 1), (0, 1, 2)]
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0]), (2, None), (3, [nan, 1.0]), (4, [1.0, None]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (100, []), (None, [1.0, 1.0]), (6, [-1.0, 0.0001])]
     out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in kdtopk.top_k(vectors(spark, rows)).collect())
     five = 1024 * 1024 * 5
