@@ -113,8 +113,10 @@ def brute_links(rows):
     return [i for i, _ in ok], near
 
 
-def test_vector_links_and_recall(spark):
-    """Groups near and at some distance: nothing false, and recall of 0.9 and more against brute force."""
+@pytest.mark.parametrize("pair_bytes", [1 << 19, 1 << 10])
+def test_vector_links_and_recall(spark, monkeypatch, pair_bytes):
+    """Groups near and at some distance: nothing false, and recall of 0.9 and more against brute force, whatever the blocks of ball pairs."""
+    monkeypatch.setattr(imi, "PAIR_BYTES", pair_bytes)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 32))
     rows = [rng.normal(size=32) for _ in range(600)]
@@ -139,7 +141,7 @@ def test_recall_beside_a_group_of_copies(spark, monkeypatch, block):
     """A third of the rows are one vector: links between all others are found as well, whether cells are visited or all balls meet."""
     monkeypatch.setattr(imi, "BLOCK", block)
     monkeypatch.setattr(imi, "PER_CELL", 0.2)  # a grid as fine, and fitted on as small a share, as far larger tables have
-    monkeypatch.setattr(imi, "FIT_ROWS", 600)
+    monkeypatch.setattr(imi, "FIT_ROWS", (600, 600))
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     a, side = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
