@@ -51,7 +51,7 @@ SYSTEM = {
 QUERY = {
     **{r: f"Describe the {r} of the face in this video in <observation></observation> tags." for r in ROLES},
     "single": f"Is this video real or fake? {JUDGE_CLOSING}",
-    "cot": f"Think through texture, lighting, motion and physics. {JUDGE_CLOSING}",
+    "cot": f"Think through {', '.join(f'the {r} in <{r}></{r}> tags' for r in ROLES)}. {JUDGE_CLOSING}",
     "verdict": f"Now give your verdict. {JUDGE_CLOSING}",
 }
 

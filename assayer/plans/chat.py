@@ -7,13 +7,16 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from ..schemas import ROLES
+
+#: Replies of a busy or broken server.
 RETRIED = frozenset({408, 409, 429, 500, 502, 503, 504})
 
 
@@ -46,7 +49,8 @@ class Stub:
         asked = str(messages[-1]["content"])
         n = int(hashlib.sha256(asked.encode()).hexdigest()[:8], 16)
         if "<answer>" in asked:
-            text = f"<explanation>seen {n % 97} signs in all of the given reports</explanation>\n<answer>{'fake' if n % 2 else 'real'}</answer>"
+            text = "".join(f"<{t}>sign {n % (71 + i)}</{t}>\n" for i, t in enumerate(ROLES) if f"<{t}>" in asked)
+            text += f"<explanation>seen {n % 97} signs in all of the given reports</explanation>\n<answer>{'fake' if n % 2 else 'real'}</answer>"
         elif "<observation>" in asked:
             text = f"<observation>sign {n % 89}</observation>"
         else:
@@ -68,6 +72,10 @@ class Http:
     temperature: float = 0.0
     extra: dict[str, Any] = field(default_factory=dict)
     sleep: Callable[[float], None] = time.sleep
+    slot: Callable[[], None] | None = None  # called before each request, retries included
+
+    def paced(self, slot: Callable[[], None]) -> Http:
+        return replace(self, slot=slot)
 
     def send(self, payload: dict[str, Any]) -> tuple[int, dict[str, str], Any]:
         import json
@@ -101,6 +109,8 @@ class Http:
 
     def chat(self, messages: list[dict[str, Any]]) -> Reply:
         for attempt in range(self.retries + 1):
+            if self.slot:
+                self.slot()
             try:
                 return self.once(messages)
             except Failure as e:
@@ -131,8 +141,28 @@ def content(reply: dict[str, Any]) -> str:
     return str(body or reply.get("reasoning_content", "") or "")
 
 
+class Partial(RuntimeError):
+    """A row that failed half-way, with what it had got by then."""
+
+    def __init__(self, message: str, results: dict[str, Any]):
+        super().__init__(message)
+        self.message, self.results = message, results
+
+
+@dataclass
+class Paced:
+    """A backend without retries of its own, each of whose calls waits for its slot."""
+
+    backend: Backend
+    slot: Callable[[], None]
+
+    def chat(self, messages: list[dict[str, Any]]) -> Reply:
+        self.slot()
+        return self.backend.chat(messages)
+
+
 class Pace:
-    """Spaces a partition's calls so that all partitions together keep to a rate a minute."""
+    """Spaces a partition's requests so that all partitions together keep to a rate a minute."""
 
     def __init__(self, rpm: float, partitions: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         import threading
@@ -154,23 +184,26 @@ def map_rows(rows: DataFrame, schema: str, process: Callable[[dict[str, Any], Ba
     """``process(row, backend)`` for every row, ``concurrency`` at a time within a partition.
 
     The output has the input's columns that the schema names, and what process
-    returns. A row whose call fails gets an ``error`` and no results, and the
-    job goes on; with fail_fast it ends. The result comes from an external
-    service: write it before reading it twice.
+    returns. A row whose call fails gets an ``error`` and what it had got by
+    then (:class:`Partial`), and the job goes on; with fail_fast it ends.
+    ``rpm`` counts requests, of which a row may make several, and retries. The
+    result comes from an external service: write it before reading it twice.
     """
     names = StructType.fromDDL(schema).fieldNames()
     partitions = max(1, rows.rdd.getNumPartitions()) if rpm else 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pace = Pace(rpm, partitions)
+        paced = backend if not rpm else backend.paced(pace.wait) if hasattr(backend, "paced") else Paced(backend, pace.wait)
 
         def one(row: dict[str, Any]) -> dict[str, Any]:
             try:
-                pace.wait()
-                return row | {"error": None} | process(row, backend)
+                return row | {"error": None} | process(row, paced)
             except Exception as e:  # noqa: BLE001
                 if fail_fast:
                     raise
+                if isinstance(e, Partial):
+                    return row | e.results | {"error": e.message}
                 return row | {"error": f"{type(e).__name__}: {e}"}
 
         with ThreadPoolExecutor(concurrency) as pool:

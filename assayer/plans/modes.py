@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ANSWER_TAG, VERDICT
 from ..operators.assemble import JUDGE_CLOSING, QUERY, REPORT_HEADS, SYSTEM
 from ..schemas import ROLES
-from .chat import Backend, map_rows
+from .chat import Backend, Partial, Reply, map_rows
 
 MODES = ("single", "cot", "multiturn", "observer", "judge", "flagship")
 CALLS = "array<struct<name: string, completion_tokens: bigint, elapsed_sec: double>>"
@@ -20,13 +22,15 @@ OUTPUT = (
     f"calls {CALLS}, wall_sec double, error string"
 )
 
-_TAG = {t: re.compile(rf"<{t}>\s*(.*?)\s*</{t}>", re.I | re.S) for t in ("observation", "explanation")}
-_ANSWER = re.compile(r"<answer>\s*(real|fake)\s*</answer>", re.I)
-_WORD = re.compile(r"\b(real|fake)\b", re.I)
+# The tags and words that responses are read by, as in functions.text.
+_TAG = {t: re.compile(rf"<{t}>\s*(.*?)\s*</{t}>", re.I | re.S) for t in ("observation", "explanation", *ROLES)}
+_ANSWER = re.compile(ANSWER_TAG, re.S)
+_WORD = re.compile(VERDICT)
 
 
-def needs_media(mode: str, judge_video: bool) -> bool:
-    return mode != "judge" or judge_video
+def needs_media(mode, judge_video):
+    """Whether a mode looks at frames: all do but a judge that reads reports only. For values and columns alike."""
+    return (mode != "judge") | judge_video
 
 
 def inside(text: str, tag: str) -> str:
@@ -34,6 +38,12 @@ def inside(text: str, tag: str) -> str:
     return m[1].strip() if m else ""
 
 
+def plain(text: str | None) -> str:
+    """A report's text: of its tag, else all of it unless it tells of an error."""
+    whole = (text or "").strip()
+    return inside(whole, "observation") or ("" if whole.lower().startswith("<error>") else whole)
+
+
 def verdict(text: str) -> tuple[str, str]:
     """Answer and explanation of a final response; incomplete ones fail."""
     strict = _ANSWER.search(text or "")
@@ -46,30 +56,47 @@ def verdict(text: str) -> tuple[str, str]:
 
 
 class _Calls:
-    """One record's calls, with what each took."""
+    """One record's calls, with what each took and what has come of them so far."""
 
     def __init__(self, backend: Backend):
-        self.backend, self.stats, self.responses = backend, [], {}
+        self.backend, self.stats, self.responses, self.seen = backend, [], {}, {}
 
-    def ask(self, name: str, messages: list[dict[str, Any]]) -> str:
-        reply = self.backend.chat(messages)
+    def keep(self, name: str, reply: Reply, key: str) -> str:
         self.stats.append({"name": name, "completion_tokens": reply.completion_tokens, "elapsed_sec": reply.elapsed_sec})
-        self.responses[name] = reply.text
+        self.responses[key] = reply.text
         return reply.text
 
-    def observe(self, name: str, messages: list[dict[str, Any]]) -> str:
-        seen = inside(self.ask(name, messages), "observation")
-        if not seen:
+    def ask(self, name: str, messages: list[dict[str, Any]], key: str | None = None) -> str:
+        return self.keep(name, self.backend.chat(messages), key or name)
+
+    def observe(self, name: str, messages: list[dict[str, Any]]) -> None:
+        self.note(name, self.ask(name, messages))
+
+    def note(self, name: str, text: str) -> None:
+        self.seen[name] = inside(text, "observation")
+        if not self.seen[name]:
             raise ValueError(f"the {name} response has no observation")
-        return seen
 
 
-def _pair(system: str, user: str) -> list[dict[str, Any]]:
+def _pair(system: str, user: str | list[dict[str, Any]]) -> list[dict[str, Any]]:
     return [{"role": "system", "content": SYSTEM[system]}, {"role": "user", "content": user}]
 
 
-def _with_media(row: dict[str, Any], text: str) -> str:
-    return f"{row.get('media') or ''}\n{text}" if row.get("media") else text
+def _frames(row: dict[str, Any]) -> list[dict[str, Any]]:
+    """The parts of a record's ``frames`` (URIs): a numbered caption and an image each. A record of a table with frames needs some."""
+    if "frames" not in row:
+        return []
+    uris = row["frames"]
+    if uris is None or not len(uris):
+        raise ValueError("no frames")
+    parts: list[dict[str, Any]] = []
+    for i, uri in enumerate(uris):
+        parts += [{"type": "text", "text": f"[frame {i + 1}/{len(uris)}]"}, {"type": "image_url", "image_url": {"url": uri, "detail": "auto"}}]
+    return parts
+
+
+def _shown(frames: list[dict[str, Any]], text: str) -> str | list[dict[str, Any]]:
+    return [*frames, {"type": "text", "text": text}] if frames else text
 
 
 def _reports(observations: dict[str, str]) -> str:
@@ -79,43 +106,85 @@ def _reports(observations: dict[str, str]) -> str:
     return "".join(f"{head}\n{observations[r]}\n\n" for r, head in REPORT_HEADS.items()) + JUDGE_CLOSING
 
 
+def _given(row: dict[str, Any]) -> dict[str, str]:
+    """A record's observations, each by the first of its spellings that cleans to something."""
+    nested = dict(row.get("observations") or {})
+    spelled = {r: (nested.get(r), row.get(r), row.get(f"{r}_response"), row.get(f"{r}_report")) for r in ROLES}
+    return {r: next((t for t in map(plain, values) if t), "") for r, values in spelled.items()}
+
+
 def process(row: dict[str, Any], backend: Backend, mode: str, role: str = "", judge_video: bool = False) -> dict[str, Any]:
-    """All calls of a mode for one record."""
+    """All calls of a mode for one record.
+
+    A failure carries what was done by then: the answer is Error (empty for
+    observers), with the observations, responses and calls so far.
+    """
     began, calls = time.perf_counter(), _Calls(backend)
-    seen: dict[str, str] = {}
-    answer = why = ""
+
+    def results(answer: str, why: str) -> dict[str, Any]:
+        return {
+            "answer": answer, "explanation": why, "observations": calls.seen, "responses": calls.responses, "calls": calls.stats,
+            "wall_sec": time.perf_counter() - began,
+        }
+
+    try:
+        return results(*_run(row, calls, mode, role, judge_video))
+    except Exception as e:  # noqa: BLE001
+        raise Partial(f"{type(e).__name__}: {e}", results("" if mode == "observer" else "Error", "")) from e
+
+
+def _run(row: dict[str, Any], calls: _Calls, mode: str, role: str, judge_video: bool) -> tuple[str, str]:
     judge = "judge_video" if judge_video else "judge_text"
-    if mode in ("single", "cot"):
-        answer, why = verdict(calls.ask("final", _pair(mode, _with_media(row, QUERY[mode]))))
-    elif mode == "observer":
-        seen[role] = calls.observe(role, _pair(role, _with_media(row, QUERY[role])))
-    elif mode == "judge":
-        seen = dict(row.get("observations") or {})
-        text = _reports(seen)
-        answer, why = verdict(calls.ask("judge", _pair(judge, _with_media(row, text) if judge_video else text)))
+    frames = _frames(row) if needs_media(mode, judge_video) else []
+    if mode == "single":
+        return verdict(calls.ask("single", _pair("single", _shown(frames, QUERY["single"])), "final"))
+    if mode == "cot":
+        text = calls.ask("cot", _pair("cot", _shown(frames, QUERY["cot"])), "final")
+        calls.seen.update({r: inside(text, r) for r in ROLES})
+        missing = [r for r, v in calls.seen.items() if not v]
+        if missing:
+            raise ValueError(f"the response lacks tags: {', '.join(missing)}")
+        return verdict(text)
+    if mode == "observer":
+        calls.observe(role, _pair(role, _shown(frames, QUERY[role])))
+        return "", ""
+    if mode == "judge":
+        calls.seen.update(_given(row))
     elif mode == "multiturn":
         talk = [{"role": "system", "content": SYSTEM["multiturn"]}]
         for i, r in enumerate(ROLES):
-            talk.append({"role": "user", "content": _with_media(row, QUERY[r]) if i == 0 else QUERY[r]})
-            seen[r] = calls.observe(r, talk)
-            talk.append({"role": "assistant", "content": calls.responses[r]})
-        last = [*talk, {"role": "user", "content": QUERY["verdict"]}] if judge_video else _pair("judge_text", _reports(seen))
-        answer, why = verdict(calls.ask("judge", last))
+            talk.append({"role": "user", "content": _shown(frames, QUERY[r]) if i == 0 else QUERY[r]})
+            text = calls.ask(r, talk)
+            talk.append({"role": "assistant", "content": text})
+            calls.note(r, text)
+        if judge_video:
+            return verdict(calls.ask("judge", [*talk, {"role": "user", "content": QUERY["verdict"]}]))
     elif mode == "flagship":
-        for r in ROLES:
-            seen[r] = calls.observe(r, _pair(r, _with_media(row, QUERY[r])))
-        text = _reports(seen)
-        answer, why = verdict(calls.ask("judge", _pair(judge, _with_media(row, text) if judge_video else text)))
+        # The four don't wait for one another; what they say counts once all have said it.
+        with ThreadPoolExecutor(len(ROLES)) as pool:
+            replies = list(pool.map(lambda r: _observed(calls.backend.chat(_pair(r, _shown(frames, QUERY[r]))), r), ROLES))
+        for r, reply in zip(ROLES, replies, strict=True):
+            calls.note(r, calls.keep(r, reply, r))
     else:
         raise ValueError(f"unknown mode: {mode}")
-    return {
-        "answer": answer, "explanation": why, "observations": seen, "responses": calls.responses, "calls": calls.stats,
-        "wall_sec": time.perf_counter() - began,
-    }
+    text = _reports(calls.seen)
+    looks = judge_video and mode != "multiturn"
+    return verdict(calls.ask("judge", _pair(judge if looks else "judge_text", _shown(frames, text) if looks else text)))
+
+
+def _observed(reply: Reply, role: str) -> Reply:
+    if not inside(reply.text, "observation"):
+        raise ValueError(f"the {role} response has no observation")
+    return reply
 
 
 def infer(rows: DataFrame, backend: Backend, mode: str, keep: str, role: str = "", judge_video: bool = False, **options: Any) -> DataFrame:
-    """A mode over a table: the columns of the DDL ``keep``, and the calls' results. Failed rows carry an error."""
+    """A mode over a table: the columns of the DDL ``keep``, and the calls' results. Failed rows carry an error.
+
+    A column ``frames`` (URIs, such as data URIs) goes along with the prompts
+    of modes that look at media; a row without any fails. Where the table has
+    no such column, prompts go alone.
+    """
     if mode not in MODES or (mode == "observer" and role not in ROLES):
         raise ValueError(f"unknown mode or role: {mode} {role}")
     return map_rows(rows, f"{keep}, {OUTPUT}", lambda row, b: process(row, b, mode, role, judge_video), backend, **options)
