@@ -10,6 +10,8 @@ from .text import col, present
 # Suffixes of frames and videos.
 FRAME_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp")
 VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".webm")
+#: Both, in code point order.
+SUFFIXES = tuple(sorted({*FRAME_SUFFIXES, *VIDEO_SUFFIXES}))
 
 
 def suffix(path: Column | str) -> Column:
@@ -124,3 +126,19 @@ def content_with_frames(prompt: Column | str, blocks: Column) -> Column:
     none = F.lit(None).cast("struct<url: string, detail: string>")
     lead = F.struct(F.lit("text").alias("type"), present(prompt).alias("text"), none.alias("image_url"))
     return F.concat(blocks, F.array(lead))
+
+
+def single_problem(path: Column | str, frames: Column) -> Column:
+    """What is wrong with a path as the one medium of a run, or null.
+
+    ``frames`` is how many frames a folder holds, null for a file. A folder
+    needs one, a file the suffix of a frame or a video.
+    """
+    kind = suffix(path)
+    known = F.concat(F.when(kind == "", F.lit("a file without a suffix")).otherwise(kind), F.lit(f" is none of {', '.join(SUFFIXES)}"))
+    return F.when(frames == 0, F.lit("a folder without frames")).when(frames.isNull() & ~kind.isin(*SUFFIXES), known)
+
+
+def latest_version(name: Column | str) -> Column:
+    """Aggregate: of names that carry numbers, such as checkpoints, the one that sorts last with digit runs as numbers."""
+    return F.max_by(col(name), natural_key(name))

@@ -52,14 +52,14 @@ def metrics(rows: DataFrame, label: str = "label", answer: str = "answer") -> Da
 
 
 def grouped(rows: DataFrame, field: str, label: str = "label", answer: str = "answer") -> DataFrame:
-    """Metrics by the stripped values of a field; blank ones go, groups without labelled rows stay."""
+    """Metrics by the stripped values of a field; blank ones go, groups without labelled rows stay; in code point order."""
     named = rows.withColumn("__name", strip(field)).where("__name <> ''")
     counts = named.groupBy("__name").agg(*[c.alias(n) for n, c in confusion(label, answer).items()])
-    return _rates(counts, [F.col("__name").alias("name")])
+    return _rates(counts, [F.col("__name").alias("name")]).orderBy("name")
 
 
 def report(rows: DataFrame, fields: tuple[str, ...] = ("source", "dataset"), label: str = "label", answer: str = "answer") -> DataFrame:
-    """Metrics overall and by each field: grp, name and the metrics.
+    """Metrics overall and by each field: grp, name and the metrics, in that order, names in code point order.
 
     Rows are aggregated once, to counts for each combination of the fields'
     values; the small table of counts then serves overall and every field.
@@ -75,7 +75,8 @@ def report(rows: DataFrame, fields: tuple[str, ...] = ("source", "dataset"), lab
     for f, n in zip(fields, names, strict=True):
         counts = base.where(F.col(n) != "").groupBy(n).agg(*sums)
         out = out.unionByName(_rates(counts, [F.lit(f"by_{f}").alias("grp"), F.col(n).alias("name")]))
-    return out
+    place = F.array_position(F.array(F.lit("overall"), *[F.lit(f"by_{f}") for f in fields]), F.col("grp"))
+    return out.orderBy(place, "name")
 
 
 def score_summary(rows: DataFrame, model: str = "model", score: str = "score") -> DataFrame:
@@ -101,3 +102,10 @@ def valid_count(rows: DataFrame, condition: Column) -> DataFrame:
 
 def status_counts(rows: DataFrame, status: str) -> DataFrame:
     return rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
+def milestones(rows: DataFrame, every: int) -> DataFrame:
+    """(done, total) where a counter of finished rows would report: at each ``every``-th position, and at the last one."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    done = (F.col("pos") + 1).alias("done")
+    return rows.select(done).join(F.broadcast(total)).where((F.col("done") % every == 0) | (F.col("done") == F.col("total")))

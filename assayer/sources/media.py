@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.media import is_frame, is_video, media_candidates, natural_sort, uniform_indices
+from ..functions.media import FRAME_SUFFIXES, is_frame, is_video, media_candidates, natural_sort, single_problem, uniform_indices
 from ..functions.text import filled
 
 
@@ -23,6 +23,22 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return single.unionByName(folders)
 
 
+def single(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(path, kind) of the one medium of a run: a video or image file, or a folder that holds frames; all else is an error."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    folder = fs.getFileStatus(at).isDirectory()
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isFile()] if folder else []
+    frames = sum(n.lower().endswith(FRAME_SUFFIXES) for n in names) if folder else None
+    row = spark.range(1).select(single_problem(F.lit(path), F.lit(frames).cast("int")).alias("problem"), is_video(F.lit(path)).alias("video")).first()
+    if row["problem"]:
+        raise ValueError(f"{path}: {row['problem']}")
+    return path, "frames" if folder else "video" if row["video"] else "image"
+
+
 def locate(rows: DataFrame, media: DataFrame, root: str, key: str = "video_path") -> DataFrame:
     """Rows with ``media_path`` and ``media_kind`` of the best candidate that exists; null where none does."""
     base = root.rstrip("/")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +34,40 @@ def numbered(rows: DataFrame, name: str = "pos") -> DataFrame:
     return joined.withColumn(name, F.col("__offset") + within).drop("__at", "__part", "__offset")
 
 
+def ranked(rows: DataFrame, by: Column, name: str = "pos", width: int = 1 << 16) -> DataFrame:
+    """Rows with their dense place in ascending order of the unique integer ``by``.
+
+    Places within slices of ``width`` values, plus how many rows the slices
+    before hold: the only window without a key is over the slices' counts.
+    """
+    cut = rows.withColumn("__by", by).withColumn("__slice", F.floor(F.col("__by") / width))
+    counts = cut.groupBy("__slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__slice", F.coalesce(before, F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy("__slice").orderBy("__by")) - 1
+    return cut.join(offsets, "__slice").withColumn(name, F.col("__offset") + within).drop("__by", "__slice", "__offset")
+
+
 def is_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first character that isn't white space opens an array."""
-    head = spark.read.text(path).where(strip("value") != "").limit(1).collect()
-    return bool(head) and head[0]["value"].lstrip().startswith("[")
+    """Whether the first character that isn't white space opens an array; of a folder's files, the first filled one's."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().toString() for s in fs.globStatus(at) or [])
+    if len(names) == 1 and fs.isDirectory(jvm.org.apache.hadoop.fs.Path(names[0])):
+        listed = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(names[0]))]
+        names = sorted(p.toString() for p in listed if not p.getName().startswith(("_", ".")))
+    for file in names:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(file))
+        try:
+            byte = stream.read()
+            while byte in (9, 10, 11, 12, 13, 32):
+                byte = stream.read()
+        finally:
+            stream.close()
+        if byte >= 0:
+            return byte == ord("[")
+    return False
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -63,12 +93,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def read_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Records of a file that is one JSON array, with pos. One array is parsed by one task; large inputs are JSONL."""
-    kind = T.ArrayType(_schema(schema))
-    whole = spark.read.text(path, wholetext=True)
-    fine = F.trim(F.regexp_replace("value", r"\s+", " ")).rlike(r"(?s)^\[.*\]$")
-    whole = demand(whole, fine, "no closed JSON array")
-    return whole.select(F.posexplode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("pos", "row")).select(F.col("pos").cast("long").alias("pos"), "row.*")
+    """Records of a file that is one JSON array, with pos.
+
+    One task reads the array as a stream, an object at a time, so memory
+    follows a record, not the file; large inputs are JSONL. A cut or broken
+    array, one with other things than objects, and a file that doesn't end
+    with a closing bracket end the job; a second array after the first isn't
+    looked at.
+    """
+    if _tail(spark, path) != "]":
+        raise ValueError(f"no closed JSON array: {path}")
+    return numbered(spark.read.schema(_schema(schema)).option("multiLine", "true").option("mode", "FAILFAST").json(path)).select("pos", *[f"`{f.name}`" for f in _schema(schema)])
+
+
+def _tail(spark: SparkSession, path: str) -> str:
+    """The last character of a file that isn't white space."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    place, stream = fs.getFileStatus(at).getLen() - 1, fs.open(at)
+    try:
+        while place >= 0:
+            stream.seek(place)
+            byte = stream.read()
+            if byte not in (9, 10, 11, 12, 13, 32):
+                return chr(byte)
+            place -= 1
+    finally:
+        stream.close()
+    return ""
 
 
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:

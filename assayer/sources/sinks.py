@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p, jvm
 
 
+def insist(action: Callable[[], Any], attempts: int = 10, sleep: Callable[[float], None] = time.sleep) -> Any:
+    """What the action returns; where access is denied, as while another process reads the file, up to ``attempts`` tries with short pauses."""
+    for attempt in range(attempts):
+        try:
+            return action()
+        except (PermissionError, Py4JJavaError) as e:
+            denied = isinstance(e, PermissionError) or any(n in str(e.java_exception) for n in ("AccessControlException", "AccessDeniedException"))
+            if not denied or attempt == attempts - 1:
+                raise
+            sleep(0.2 + random.random() * 0.2)
+
+
 def _replace(spark: SparkSession, folder: str, path: str) -> None:
     """The one part file of a folder becomes ``path``; the folder goes."""
     fs, target, jvm = _fs(spark, path)
@@ -25,7 +42,7 @@ def _replace(spark: SparkSession, folder: str, path: str) -> None:
     rename = jvm.org.apache.hadoop.fs.Options.Rename
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
-    context.rename(fs.makeQualified(parts[0]), fs.makeQualified(target), options)
+    insist(lambda: context.rename(fs.makeQualified(parts[0]), fs.makeQualified(target), options))
     fs.delete(source, True)
 
 
@@ -61,6 +78,11 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def write_batch(rows: DataFrame, path: str) -> None:
+    """A batch's rows as a folder of its own, in place of what a broken attempt may have left there."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_document(row: DataFrame, path: str) -> None:
     """The one row of a small result as a JSON document, such as metrics beside a result file."""
     write_records(row.limit(2), path if path.endswith(".jsonl") else path, order=None)

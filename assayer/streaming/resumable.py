@@ -32,14 +32,14 @@ def run(inputs: DataFrame, process: Callable[[DataFrame], DataFrame], log: str,
     full = f"{schema}, log_seq bigint"
     before = read_log(spark, log, full)
     seq = before.agg(F.coalesce(F.max("log_seq"), F.lit(-1)).alias("s")).first()["s"]
-    wanted = pending(inputs, last_wins(before, [key], "log_seq"), key, done)
-    numbers = [r["b"] for r in wanted.select(F.floor(F.col("pos") / batch_rows).alias("b")).distinct().orderBy("b").collect()]
-    # The log grows while we read it, so what is pending is taken batch by batch from the inputs.
+    # What is pending at the start, kept: batches don't overlap, so none needs the log that the others have grown. Should a
+    # part be lost and worked out again, it can only lack rows that are done by then.
+    wanted = pending(inputs, last_wins(before, [key], "log_seq"), key, done).withColumn("__batch", F.floor(F.col("pos") / batch_rows)).persist()
+    numbers = [r["__batch"] for r in wanted.select("__batch").distinct().orderBy("__batch").collect()]
     for n in numbers:
         seq += 1
-        part = inputs.where(F.floor(F.col("pos") / batch_rows) == n)
-        now = pending(part, last_wins(read_log(spark, log, full), [key], "log_seq"), key, done)
-        sinks.append(process(now).withColumn("log_seq", F.lit(seq).cast("bigint")), log)
+        sinks.append(process(wanted.where(F.col("__batch") == n).drop("__batch")).withColumn("log_seq", F.lit(seq).cast("bigint")), log)
+    wanted.unpersist()
     return in_order(inputs, last_wins(read_log(spark, log, full), [key], "log_seq").drop("log_seq"), key)
 
 
@@ -52,7 +52,8 @@ def stream(spark: SparkSession, source: str, schema: str, process: Callable[[Dat
     files = spark.readStream.schema(schema).json(source)
 
     def batch(rows: DataFrame, number: int) -> None:
-        sinks.append(process(rows), f"{sink}/batch={number}") if not _has(spark, f"{sink}/batch={number}/_SUCCESS") else None
+        if not _has(spark, f"{sink}/batch={number}/_SUCCESS"):
+            sinks.write_batch(process(rows), f"{sink}/batch={number}")
 
     query = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

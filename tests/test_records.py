@@ -8,6 +8,7 @@ import math
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -256,11 +257,11 @@ def test_positions_over_many_parts(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("name", "content"),
-    [("s.jsonl", '{"video_path": "v"}\n5\n'), ("x.jsonl", '{"video_path": "v"}\n[{"video_path": "w"}]\n'), ("b.jsonl", '{"video_path"\n{"video_path": "v"}\n'), ("u.json", '[{"video_path": "v"}')],
+    [("s.jsonl", '{"video_path": "v"}\n5\n'), ("x.jsonl", '{"video_path": "v"}\n[{"video_path": "w"}]\n'), ("b.jsonl", '{"video_path"\n{"video_path": "v"}\n'), ("u.json", '[{"video_path": "v"}'), ("c.json", '[{"video_path": "v"}, {"video_path": ["a"]'), ("n.json", '[{"video_path": "v"}, 5]')],
 )
 def test_broken_files_end_the_job(spark, tmp_path, name, content):
     path = write(tmp_path / name, content)
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, ValueError, Py4JJavaError)):
         records.read_records(spark, path, SCHEMA).collect()
 
 
@@ -306,30 +307,119 @@ def test_sinks(spark, tmp_path):
 
 
 class Broken:
+    """The stub, but for calls that show a frame named bad, and judges that are to fail."""
+
+    def __init__(self, judge=False):
+        self.judge = judge
+
     def chat(self, messages):
-        if "bad" in messages[-1]["content"]:
+        if "bad" in str(messages[-1]["content"]) or (self.judge and "report:" in str(messages[-1]["content"])):
             raise ValueError("bad")
         return chat.Stub().chat(messages)
 
 
 @pytest.mark.parametrize("mode", modes.MODES)
 def test_modes(spark, mode):
-    rows = spark.createDataFrame([("v1", "m1", dict.fromkeys(assemble.ROLES, "seen")), ("v2", "bad", {})], "video_path string, media string, observations map<string, string>")
-    out = modes.infer(rows, Broken(), mode, "video_path string", role="motion", judge_video=True)
-    got = {r["video_path"]: r for r in out.collect()}
-    assert got["v1"]["error"] is None and got["v2"]["error"] is not None
-    assert len(got["v1"]["calls"]) == {"multiturn": 5, "flagship": 5}.get(mode, 1)
+    seen = dict.fromkeys(assemble.ROLES, "seen")
+    rows = spark.createDataFrame([("v1", ["m1", "m2"], seen), ("v2", ["bad"], {}), ("v3", [], seen)], "video_path string, frames array<string>, observations map<string, string>")
+    got = {r["video_path"]: r for r in modes.infer(rows, Broken(), mode, "video_path string", role="motion", judge_video=True).collect()}
+    assert got["v1"]["error"] is None and got["v2"]["error"] is not None and got["v3"]["error"] == "ValueError: no frames"
+    assert got["v2"]["answer"] == got["v3"]["answer"] == ("" if mode == "observer" else "Error")
+    assert [c["name"] for c in got["v1"]["calls"]] == {"multiturn": [*assemble.ROLES, "judge"], "flagship": [*assemble.ROLES, "judge"], "observer": ["motion"]}.get(mode, [mode])
     assert got["v1"]["observations"].get("motion") if mode == "observer" else got["v1"]["answer"] in ("real", "fake")
+    if mode == "cot":
+        assert set(got["v1"]["observations"]) == set(assemble.ROLES) and all(v.startswith("sign ") for v in got["v1"]["observations"].values())
+
+
+def test_failed_rows_keep_what_they_had(spark):
+    rows = spark.createDataFrame([("v1",)], "video_path string")
+    for mode in ("flagship", "multiturn"):
+        r = modes.infer(rows, Broken(judge=True), mode, "video_path string").first()
+        assert r["answer"] == "Error" and r["error"] == "ValueError: bad" and r["explanation"] == ""
+        assert [c["name"] for c in r["calls"]] == list(assemble.ROLES) and set(r["observations"]) == set(r["responses"]) == set(assemble.ROLES)
+    reports = rows.withColumns({f"{r}_report": F.lit(f"<observation>{r}</observation>") for r in assemble.ROLES})
+    assert modes.infer(reports, chat.Stub(), "judge", "video_path string").first()["observations"] == {r: r for r in assemble.ROLES}
+    with pytest.raises(Exception, match="bad"):
+        modes.infer(rows, Broken(judge=True), "flagship", "video_path string", fail_fast=True).collect()
+
+
+def test_frames_go_as_parts():
+    asked = []
+
+    class Ear(chat.Stub):
+        def chat(self, messages):
+            asked.append(messages[-1]["content"])
+            return super().chat([{"content": asked[-1][-1]["text"]}])
+
+    modes.process({"frames": ["u1", "u2"]}, Ear(), "single")
+    assert [p["type"] for p in asked[0]] == ["text", "image_url"] * 2 + ["text"]
+    assert asked[0][2]["text"] == "[frame 2/2]" and asked[0][3]["image_url"] == {"url": "u2", "detail": "auto"} and asked[0][4]["text"] == assemble.QUERY["single"]
+
+
+def test_a_slot_for_each_request(spark):
+    """Six rows of five calls take 30 slots, and so do retries of a server."""
+    began = __import__("time").perf_counter()
+    rows = spark.createDataFrame([(f"v{i}",) for i in range(6)], "video_path string").coalesce(1)
+    assert modes.infer(rows, chat.Stub(), "flagship", "video_path string", rpm=60 * 40).count() == 6
+    assert __import__("time").perf_counter() - began >= 29 / 40
+    slots, replies = [], [(429, {}, ""), (200, {}, {"choices": [{"message": {"content": "ok"}}]})]
+
+    class Server(chat.Http):
+        def send(self, payload):
+            return replies.pop(0)
+
+    assert Server("u", "m", sleep=lambda s: None).paced(lambda: slots.append(1)).chat([]).text == "ok" and len(slots) == 2
 
 
 def test_spread_flagship_agrees(spark):
-    rows = spark.createDataFrame([("v1", "m1"), ("v2", "m2")], "video_path string, media string")
+    rows = spark.createDataFrame([("v1", ["m1"]), ("v2", ["m2"])], "video_path string, frames array<string>")
     a = modes.infer(rows, chat.Stub(), "flagship", "video_path string")
-    b = modes.infer_spread(rows, chat.Stub(), "video_path", "video_path string, media string")
+    b = modes.infer_spread(rows, chat.Stub(), "video_path", "video_path string, frames array<string>")
     pick = lambda df: sorted((r["video_path"], r["answer"], r["explanation"], len(r["calls"])) for r in df.collect())
     assert pick(a) == pick(b)
 
 
+def test_insists_where_access_is_denied():
+    tries, waits = [], []
+
+    def action():
+        tries.append(1)
+        if len(tries) < 4:
+            raise PermissionError("in use")
+        return "done"
+
+    assert sinks.insist(action, sleep=waits.append) == "done" and len(waits) == 3 and all(0.2 <= w <= 0.4 for w in waits)
+    with pytest.raises(PermissionError):
+        tries.clear()
+        sinks.insist(lambda: action() if len(tries) > 99 else (_ for _ in ()).throw(PermissionError()), attempts=3, sleep=waits.append)
+    with pytest.raises(ValueError):
+        sinks.insist(lambda: int("x"), sleep=waits.append)
+
+
+def test_single_medium(spark, tmp_path):
+    from assayer.sources import media as files
+
+    (tmp_path / "v").mkdir()
+    with pytest.raises(ValueError, match="without frames"):
+        files.single(spark, str(tmp_path / "v"))
+    (tmp_path / "v" / "1.PNG").write_bytes(b"x")
+    (tmp_path / "a.mp4").write_bytes(b"x")
+    (tmp_path / "a.txt").write_bytes(b"x")
+    assert files.single(spark, str(tmp_path / "v"))[1] == "frames" and files.single(spark, str(tmp_path / "a.mp4"))[1] == "video"
+    with pytest.raises(ValueError, match="is none of .bmp, .avi|is none of"):
+        files.single(spark, str(tmp_path / "a.txt"))
+    with pytest.raises(FileNotFoundError):
+        files.single(spark, str(tmp_path / "none.mp4"))
+    names = spark.createDataFrame([("checkpoint-9",), ("checkpoint-100",), ("checkpoint-20",)], "n string")
+    assert names.agg(media.latest_version("n")).first()[0] == "checkpoint-100"
+
+
+def test_reports_are_in_order(spark):
+    rows = spark.createDataFrame([(s, d, "real", "real") for s in "cab" for d in "zy"], "source string, dataset string, label string, answer string")
+    assert [(r["grp"], r["name"]) for r in metrics.report(rows).collect()] == [("overall", ""), *[("by_source", s) for s in "abc"], *[("by_dataset", d) for d in "yz"]]
+    assert [r["name"] for r in metrics.grouped(rows, "source").collect()] == ["a", "b", "c"]
+
+
 def test_retries():
     waits, replies = [], [(429, {"Retry-After": "7"}, ""), (503, {}, ""), (200, {}, {"choices": [{"message": {"content": "ok"}}], "usage": {"completion_tokens": 3}})]
 
