@@ -305,12 +305,13 @@ def observations_coalesce(spark, sf_dir):
 def _reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """An authority and one report table a role, aligned by position."""
     r = records(spark, sf_dir).select("pos", "video_path", "label", "text")
-    return {"gold": r, **{role: r.select("pos", "video_path", F.concat(F.lit(f"{role}: "), F.substring("text", 1, 40)).alias("report")) for role in ROLES}}
+    return {"gold": r, **{role: r.select("pos", "video_path", F.concat(F.lit(f"{role}: "), F.col("text")).alias("report")) for role in ROLES}}
 
 
-@query(f"{WITH_R} SELECT pos, video_path, label AS gold_label, {', '.join(f'''concat('{r}: ', substr(text, 1, 40)) AS {r}_report''' for r in ROLES)} FROM r")
+@query(f"{WITH_R} SELECT pos, video_path, label AS gold_label, {', '.join(f'''sha256(concat('{r}: ', text)) AS {r}_report''' for r in ROLES)} FROM r")
 def zip_join(spark, sf_dir):
-    return align.strict_zip(_reports(spark, sf_dir), carry={"gold": ["label"], **{r: ["report"] for r in ROLES}})
+    z = align.strict_zip(_reports(spark, sf_dir), carry={"gold": ["label"], **{r: ["report"] for r in ROLES}})
+    return z.withColumns({f"{r}_report": F.sha2(f"{r}_report", 256) for r in ROLES})
 
 
 @query(
@@ -327,7 +328,7 @@ def zip_mismatch(spark, sf_dir):
 
 
 @query(
-    f"""{WITH_R} SELECT pos, video_path, {q_binary('label')} AS label, {', '.join(f'''{q_strip(f"concat('{r}: ', substr(text, 1, 40))")} AS {r}''' for r in ROLES)}
+    f"""{WITH_R} SELECT pos, video_path, {q_binary('label')} AS label, {', '.join(f'''sha256({q_strip(f"concat('{r}: ', text)")}) AS {r}''' for r in ROLES)}
 FROM r WHERE {q_strip('label')} <> ''"""
 )
 def joined_reports(spark, sf_dir):
@@ -337,7 +338,7 @@ def joined_reports(spark, sf_dir):
         "pos",
         "video_path",
         text.binary_label("gold_label").alias("label"),
-        *[text.required(text.parse_observation(f"{r}_report", allow_plain=True), f"{r} report").alias(r) for r in ROLES],
+        *[F.sha2(text.required(text.parse_observation(f"{r}_report", allow_plain=True), f"{r} report"), 256).alias(r) for r in ROLES],
     )
 
 
@@ -415,11 +416,9 @@ def cross_tasks(spark, sf_dir):
 
 @query(f"{WITH_R}, s AS (SELECT doc_id AS k, row_number() OVER (ORDER BY doc_id DESC) - 1 AS sample_pos FROM labels) SELECT sample_pos, pos, video_path FROM s JOIN r ON r.pos = s.k")
 def sample_semi(spark, sf_dir):
-    from pyspark.sql import Window
-
     r = records(spark, sf_dir).select("pos", "video_path")
     l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"))
-    sample = l.select("pos", (F.row_number().over(Window.orderBy(F.desc("pos"))) - 1).alias("at")).join(r, "pos").select(F.col("at").alias("pos"), "video_path")
+    sample = sources.ranked(l, -F.col("pos"), "at").join(r, "pos").select(F.col("at").alias("pos"), "video_path")
     return align.select_sample(r, sample, "video_path").select(F.col("sample_pos").cast("long").alias("sample_pos"), "pos", "video_path")
 
 
@@ -448,7 +447,7 @@ def batch_ids(spark, sf_dir):
 
 ANNOTATED = (
     "SELECT r.pos, r.label, m.i, m.name, CASE (r.pos + m.i) % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'fake' ELSE '' END AS answer, "
-    "concat(m.name, ' saw ', substr(r.text, 1, 30)) AS said FROM r CROSS JOIN m WHERE trim(r.label) <> ''"
+    "concat(m.name, ' saw ', r.text) AS said FROM r CROSS JOIN m WHERE trim(r.label) <> ''"
 )
 MODELS = "(VALUES (0, 'alpha'), (1, 'beta'), (2, 'gamma'))"
 
@@ -460,7 +459,7 @@ def _annotated(spark: SparkSession, sf_dir: str, kept: Column) -> DataFrame:
     said = r.join(F.broadcast(m)).select(
         "pos", text.binary_label("label").alias("gold"), "i", "name",
         F.when((F.col("pos") + F.col("i")) % 3 == 0, F.lit("real")).when((F.col("pos") + F.col("i")) % 3 == 1, F.lit("fake")).otherwise(F.lit("")).alias("answer"),
-        F.concat("name", F.lit(" saw "), F.substring("text", 1, 30)).alias("text"),
+        F.concat("name", F.lit(" saw "), F.col("text")).alias("text"),
     )
     rows = F.array_sort(F.collect_list(F.struct("i", "name", "answer", "text")))
     return said.where(kept).groupBy("pos", "gold").agg(F.transform(rows, lambda x: F.struct(x["name"].alias("name"), x["answer"].alias("answer"), x["text"].alias("text"))).alias("reports"))
@@ -496,14 +495,14 @@ g AS (SELECT pos, string_agg({q_blocks('Rationale', True, True)}, chr(10) || chr
   FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY i) AS k FROM a WHERE answer = gold) GROUP BY pos)
 SELECT w.pos, (CASE WHEN n_right IS NULL THEN {wrong[0]} ELSE n_right END)::INTEGER AS num_models_used, n_right IS NULL AS all_wrong,
   {'n_right IS NULL' if policy == 'drop' else 'false'} AS dropped,
-  CASE WHEN n_right IS NULL THEN {wrong[1]} ELSE concat('Ground-truth verdict: ', gold, '.', chr(10), chr(10), 'Merge the rationales below, which all reached this verdict.', chr(10), chr(10), own) END AS prompt
+  sha256(CASE WHEN n_right IS NULL THEN {wrong[1]} ELSE concat('Ground-truth verdict: ', gold, '.', chr(10), chr(10), 'Merge the rationales below, which all reached this verdict.', chr(10), chr(10), own) END) AS prompt
 FROM w LEFT JOIN g ON w.pos = g.pos"""
 
 
 def _policy(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
     rows = _annotated(spark, sf_dir, F.lit(True))
     seen = {r: F.concat(F.lit(f"{r} of "), F.col("pos").cast("string")) for r in ROLES}
-    return rows.select("pos", assemble.explanation_plan(F.col("gold"), F.col("reports"), policy, seen).alias("p")).select("pos", "p.*")
+    return rows.select("pos", assemble.explanation_plan(F.col("gold"), F.col("reports"), policy, seen).alias("p")).select("pos", "p.*").withColumn("prompt", F.sha2("prompt", 256))
 
 
 @query(q_policy("drop"))
@@ -524,12 +523,13 @@ def explanation_policy_ground_truth(spark, sf_dir):
 @query(
     f"""{WITH_R}, m AS (SELECT * FROM {MODELS} AS t(i, name)), a AS (SELECT *, {q_binary('label')} AS gold FROM ({ANNOTATED})),
 k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY i) AS k FROM a WHERE answer <> '')
-SELECT pos, concat('This video is ', gold, '.', chr(10), 'Below are ', cast(count(*) as string), ' reports on its texture.', chr(10), chr(10),
-  string_agg({q_blocks('Model', True, False)}, chr(10) || chr(10) ORDER BY i)) AS prompt, count(*)::INTEGER AS num_models_used FROM k GROUP BY pos, gold"""
+SELECT pos, sha256(concat('This video is ', gold, '.', chr(10), 'Below are ', cast(count(*) as string), ' reports on its texture.', chr(10), chr(10),
+  string_agg({q_blocks('Model', True, False)}, chr(10) || chr(10) ORDER BY i))) AS prompt, count(*)::INTEGER AS num_models_used FROM k GROUP BY pos, gold"""
 )
 def agg_prompt(spark, sf_dir):
     rows = _annotated(spark, sf_dir, F.col("answer") != "")
-    return rows.select("pos", assemble.observation_prompt(F.col("gold"), "texture", F.col("reports")).alias("prompt"), F.size("reports").alias("num_models_used"))
+    prompt = assemble.observation_prompt(F.col("gold"), "texture", F.col("reports"))
+    return rows.select("pos", F.sha2(prompt, 256).alias("prompt"), F.size("reports").alias("num_models_used"))
 
 
 def _role_texts(clipped: bool = False) -> dict[str, Column]:
@@ -657,9 +657,7 @@ def result_record(spark, sf_dir):
 @query("SELECT user_id, sum(event_id % 100)::BIGINT AS completion_tokens, count(*) AS calls FROM events GROUP BY user_id")
 def usage_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    call = F.struct(F.col("event_type").alias("name"), (F.col("event_id") % 100).alias("completion_tokens"), F.col("value").alias("elapsed_sec"))
-    rows = e.groupBy("user_id").agg(F.collect_list(call).alias("c"))
-    return rows.select("user_id", assemble.usage(F.col("c"), F.lit(0.0))["completion_tokens"].alias("completion_tokens"), F.size("c").cast("long").alias("calls"))
+    return e.groupBy("user_id").agg(F.sum(F.col("event_id") % 100).alias("completion_tokens"), F.count(F.lit(1)).alias("calls"))
 
 
 # --- rewards --------------------------------------------------------------------
@@ -851,7 +849,7 @@ mode <> 'judge' OR doc_id % 2 = 0 AS media FROM (SELECT d.doc_id, {MODE} AS mode
 def mode_needs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").alias("d").select("d.doc_id", F.expr(MODE).alias("mode"))
     role = F.when(F.col("doc_id") % 4 == 3, F.lit("gaze")).otherwise(F.lit("motion"))
-    media_too = (F.col("mode") != "judge") | (F.col("doc_id") % 2 == 0)
+    media_too = modes.needs_media(F.col("mode"), F.col("doc_id") % 2 == 0)
     return d.select("doc_id", text.required_adapters("mode", role).alias("a"), media_too.alias("media")).select("doc_id", "a.*", "media")
 
 
@@ -909,8 +907,11 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-")
-    return f"{named}/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='assayer-')}/{uuid.uuid4().hex}"
 
 
 @query(f"{WITH_R} SELECT pos, video_path, label, answer FROM r")
@@ -933,6 +934,37 @@ def jsonl_repair(spark, sf_dir):
     return sources.repair_truncated(spark, path, "video_path string")
 
 
+@query(f"{WITH_R} SELECT pos, video_path, label, answer FROM r")
+def json_array_roundtrip(spark, sf_dir):
+    """Records written as one JSON array and scanned again, in order."""
+    path = f"{_scratch(spark)}/records.json"
+    sinks.write_records(records(spark, sf_dir).select("pos", "video_path", "label", "answer"), path)
+    return sources.read_records(spark, path, "video_path string, label string, answer string")
+
+
+@query(
+    f"""WITH p AS (SELECT d.doc_id, {PATH} AS p, d.doc_id % 4 AS kind FROM documents d)
+SELECT doc_id, CASE WHEN kind = 0 THEN CASE WHEN doc_id % 8 = 0 THEN 'a folder without frames' END
+  WHEN NOT regexp_matches(p, '(?i)\\.(mp4|avi|mov|mkv|webm|png|jpe?g|webp|bmp)$') THEN '.txt is none of ' || '{", ".join(media.SUFFIXES)}' END AS problem FROM p"""
+)
+def single_media(spark, sf_dir):
+    """What is wrong with a path as the one medium of a run: folders need frames, files a known suffix."""
+    d = table(spark, sf_dir, "documents").alias("d").select("d.doc_id", F.expr(PATH).alias("p"))
+    frames = F.when(F.col("doc_id") % 4 == 0, F.when(F.col("doc_id") % 8 == 0, F.lit(0)).otherwise(F.lit(3)))
+    return d.select("doc_id", media.single_problem("p", frames).alias("problem"))
+
+
+@query("SELECT user_id, 'checkpoint-' || max(event_id) AS latest FROM events GROUP BY user_id")
+def latest_checkpoint(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("checkpoint-"), F.col("event_id").cast("string")).alias("name"))
+    return e.groupBy("user_id").agg(media.latest_version("name").alias("latest"))
+
+
+@query(f"{WITH_R}, n AS (SELECT count(*) AS total FROM r) SELECT pos + 1 AS done, total FROM r, n WHERE (pos + 1) % 100 = 0 OR pos + 1 = total")
+def progress_marks(spark, sf_dir):
+    return metrics.milestones(records(spark, sf_dir).select("pos"), 100)
+
+
 # --- rows only ------------------------------------------------------------------
 
 
@@ -952,6 +984,7 @@ def chat_map_stub(spark, sf_dir):
 @query()
 def mode_flagship_stub(spark, sf_dir):
     """Four observers and a judge a record, by the stub backend."""
-    r = records(spark, sf_dir).select("pos", "video_path", "label", F.col("text").alias("media"))
+    uris = F.array(media.data_uri(F.col("text").cast("binary"), "text/plain"))
+    r = records(spark, sf_dir).select("pos", "video_path", "label", uris.alias("frames"))
     out = modes.infer(r, chat.Stub(), "flagship", "pos bigint, video_path string, label string")
     return out.select("pos", "video_path", "answer", "explanation", F.size("calls").alias("n_calls"), F.try_element_at("observations", F.lit("motion")).alias("motion"), "error")
