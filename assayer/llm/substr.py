@@ -1,4 +1,4 @@
-"""Removal of repeated passages: winnowed anchors seed matches, which are extended to whole windows."""
+"""Removal of repeated passages: winnowed anchors join documents, matches are extended both ways, maximal repeats stay."""
 
 from __future__ import annotations
 
@@ -7,14 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
 from .windows import Words, groups, winnow
 
 LENGTH = 20  # words of a window: the shortest repeat that counts
 SEED_WORDS = 6  # words of an anchor
-NO_ID = (1 << 63) - 1  # stands for a null id, after all others
+STRIDE = 256  # words of a diagonal that make up one match, at most
+HOT = 50_000  # places of one anchor that meet its first one in one part, about
+ASKED = 512  # matches that ask one document for its words at a time, about
+BACK = LENGTH - SEED_WORDS  # words that a window may start before its anchor
+PLACE = ["late", "id"]  # where a text stands: null ids after all others
 
 
 class _Seeds:
@@ -43,17 +49,12 @@ class _Seeds:
         self.tail = np.concatenate([self.head[1:], np.array([len(at)], np.int64)])[: len(self.head)]
         self.anchor = seeds[at[self.head]]  # hash of each anchor
         self.anchor_doc = self.doc[self.head]
+        self.anchor_at = (at[self.head] - w.first[self.anchor_doc]).astype(np.int32) if last else np.zeros(0, np.int32)
 
     def windows(self) -> np.ndarray:
         w = self.words
         return w.spans(w.begin[self.start], w.end[self.start + LENGTH - 1]) if len(self.start) else np.zeros(0, np.uint64)
 
-    def contexts(self) -> np.ndarray:
-        w = self.words
-        if not len(self.head):
-            return np.zeros(0, np.uint64)
-        return w.spans(w.begin[self.start[self.head]], w.end[self.start[self.tail - 1] + LENGTH - 1])
-
     def repeated(self, alone: list) -> np.ndarray:
         """Which anchors occur elsewhere as well. alone: for each text, the hashes of those that don't."""
         out = np.ones(len(self.anchor), bool)
@@ -68,6 +69,79 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _sign(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _matches(places: DataFrame, first: DataFrame) -> DataFrame:
+    """Diagonals on which places (key, late, id, pos) meet the first place of their key.
+
+    Keys with many places are dealt into parts of about HOT of them. A match
+    stands for up to STRIDE words of a document's diagonal against another's:
+    it starts at its first seed ``a`` and ends at its last ``b``; ``shift`` is
+    how far the other's words lie behind.
+    """
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    # A row for HOT places at most.
+    many = F.broadcast(first.select("key", parts.alias("parts")).where("parts > 1"))
+    dealt = places.join(many, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*PLACE, "pos"), "parts"), F.lit(0)).cast("int"))
+    leads = first.select("key", F.col("e.late").alias("o_late"), F.col("e.id").alias("o_id"), F.col("e.pos").alias("o_pos"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    here, there = F.struct(*PLACE, "pos"), F.struct("o_late", "o_id", "o_pos")
+    return (
+        dealt.join(leads, ["key", "part"])
+        .where(here != there)
+        .groupBy(*PLACE, "o_late", "o_id", (F.col("pos") - F.col("o_pos")).alias("shift"), F.floor(F.col("pos") / STRIDE).alias("stretch"))
+        .agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+        .select(*PLACE, "o_late", "o_id", "shift", "a", "b")
+    )
+
+
+def _words_of(texts: DataFrame, matches: DataFrame, before: int) -> DataFrame:
+    """(late, id, told): for each document the words that its matches are to be compared with, as structs (at, words).
+
+    ``at`` is where the document would have them, from ``before`` words before
+    a match's first seed to LENGTH words after the start of its last. Matches
+    ask a document in blocks of about ASKED, however many there are.
+    """
+    blocks = F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks")
+    # A row for ASKED matches at most.
+    many = F.broadcast(matches.groupBy("o_late", "o_id").agg(blocks).where("blocks > 1"))
+    asked = (
+        matches.join(many, ["o_late", "o_id"], "left")
+        .withColumn("block", F.coalesce(F.pmod(F.xxhash64(*PLACE, "a", "shift"), "blocks"), F.lit(0)).cast("int"))
+        .groupBy(F.col("o_late").alias("late"), F.col("o_id").alias("id"), "block")
+        .agg(F.collect_list(F.struct(F.col("late").alias("to_late"), F.col("id").alias("to_id"), "shift", "a", "b")).alias("asked"))
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text, asked in zip(b["text"], b["asked"], strict=True):
+                own, rows = (text or "").encode("utf-8", "surrogatepass").split(), []
+                for m in asked:
+                    at = max(m["a"] - m["shift"] - before, 0)
+                    words = b" ".join(own[at : m["b"] - m["shift"] + LENGTH])
+                    rows.append((m["to_late"], m["to_id"], at + m["shift"], words))
+                yield pd.DataFrame(rows, columns=["late", "id", "at", "words"])
+
+    told = texts.join(asked, PLACE).select("text", "asked").mapInPandas(run, "late boolean, id long, at int, words binary")
+    return told.groupBy(*PLACE).agg(F.collect_list(F.struct("at", "words")).alias("told"))
+
+
+def _repeats(own: list[bytes], told) -> np.ndarray:
+    """Starts of windows of a document that equal, word for word, what it is told: maximal runs of LENGTH equal words or more."""
+    starts = []
+    for m in told if told is not None else ():
+        other, at = m["words"].split(b" "), m["at"]
+        skip = max(-at, 0)
+        mine = own[max(at, 0) : at + len(other)]
+        same = np.fromiter((x == y for x, y in zip(mine, other[skip:], strict=False)), bool)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+        for a, b in edges.reshape(-1, 2).tolist():
+            if b - a >= LENGTH:
+                starts.append(np.arange(a, b - LENGTH + 1) + max(at, 0))
+    return np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Each document without the words of passages of LENGTH words or more that start earlier elsewhere.
 
@@ -78,124 +152,122 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Every document's winnowed anchors are counted by hash (combined on the
        map side); what occurs once in the corpus goes back to its document as
        a list.
-    2. Other anchors are extended both ways to the context that their windows
-       span. Equal contexts meet in one aggregation (anchor, context) that
-       keeps the earliest; all others are repeats in whole. Where the earliest
-       stand goes back to their documents.
-    3. The windows of the earliest contexts meet by hash in the same way, so
-       contexts that differ at one end still share what they have in common.
-       The earliest start of each window goes back to its document.
-    4. A document removes all windows of repeated anchors but those earliest
-       ones.
-
-    All three exchanges are aggregations by hash with map-side combining: no
-    group of copies and no common passage is gathered in a task. The texts are
-    dealt by id once, and that exchange serves all passes; what else moves is
-    hashes and places. Contexts match on two hashes of 64 bits, windows on one.
-
-    Null texts have no words. Null ids order last and count as one id. Rows
-    that repeat an id are the same place: windows at equal starts of such rows
-    aren't earlier than one another. Returns doc_id, n_words, n_removed,
+    2. All other places of an anchor join its earliest one. Places on one
+       diagonal of two documents become a match, which is extended both ways
+       by comparing words: the earlier document's words travel to the later
+       one, and maximal runs of LENGTH equal words or more are repeats.
+    3. Windows of repeated anchors that equal nothing at the anchor's first
+       place may still equal one another: they join the earliest window of
+       their hash and are compared in the same way.
+    4. A document removes the words of all its repeats.
+
+    Words decide, not hashes: two different texts of one hash can't remove
+    anything. No group of copies is gathered: places and windows of one key
+    are dealt into parts, matches that ask one document into blocks. The texts
+    are dealt by id once, and that exchange serves all passes; what else moves
+    is places, and the words of matches.
+
+    Null texts have no words. Rows with a null id order last, by a hash of the
+    text; equal ones are one place. Rows that repeat an id are the same place:
+    windows at equal starts of such rows aren't earlier than one another.
+    Ties don't arise otherwise. A document is handled by one task, in memory of
+    some 40 times its text; an empty table gives no rows; other columns play
+    no part, whatever their names. Returns doc_id, n_words, n_removed,
     kept_sha256, a row per row; with_text adds kept_text.
     """
+    ready(docs.sparkSession)
+    own_id = F.col(id_col).cast("long")
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text")
-    ).repartition("id")
+        own_id.isNull().alias("late"), F.coalesce(own_id, F.xxhash64(text_col)).alias("id"), F.col(text_col).alias("text")
+    ).repartition(*PLACE)
 
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, ids = b["text"].tolist(), b["id"].to_numpy()
+            text, ids, late = b["text"].tolist(), b["id"].to_numpy(), b["late"].to_numpy()
             for g in groups(text):
                 s = _Seeds(text[g])
-                yield pd.DataFrame({"anchor": _long(s.anchor), "id": ids[g][s.anchor_doc]})
-
-    once = (
-        texts.mapInPandas(anchors, "anchor long, id long")
-        .groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-        .where("n = 1")
-        .groupBy("id")
-        .agg(F.collect_list("anchor").alias("alone"))
+                yield pd.DataFrame({"key": _long(s.anchor), "late": late[g][s.anchor_doc], "id": ids[g][s.anchor_doc], "pos": s.anchor_at})
+
+    counted = (
+        texts.mapInPandas(anchors, "key long, late boolean, id long, pos int")
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE, "pos")).alias("e"))
     )
-    seeded = texts.join(once, "id", "left")
+    alone = counted.where("n = 1").groupBy("e.late", "e.id").agg(F.collect_list("key").alias("alone"))
+    seeded = texts.join(alone, PLACE, "left")
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, ids, alone = b["text"].tolist(), b["id"].to_numpy(), b["alone"].tolist()
+            text, ids, late, alone = b["text"].tolist(), b["id"].to_numpy(), b["late"].to_numpy(), b["alone"].tolist()
             for g in groups(text):
                 s = _Seeds(text[g])
                 pick = np.flatnonzero(s.repeated(alone[g]))
-                if len(pick):
-                    yield pd.DataFrame(
-                        {
-                            "anchor": _long(s.anchor[pick]),
-                            "context": _long(s.contexts()[pick]),
-                            "id": ids[g][s.anchor_doc[pick]],
-                            "start": s.offset[s.head[pick]],
-                        }
-                    )
-
-    heads = (
-        seeded.mapInPandas(contexts, "anchor long, context long, id long, start int")
-        .groupBy("anchor", "context")
-        .agg(F.min(F.struct("id", "start")).alias("e"))
-        .groupBy("e.id")
-        .agg(F.collect_list("e.start").alias("heads"))
-    )
+                doc = s.anchor_doc[pick]
+                yield pd.DataFrame({"key": _long(s.anchor[pick]), "late": late[g][doc], "id": ids[g][doc], "pos": s.anchor_at[pick]})
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    first = counted.where("n > 1")
+    heads = first.groupBy("e.late", "e.id").agg(F.collect_list("e.pos").alias("heads"))
+    met = _matches(seeded.mapInPandas(places, "key long, late boolean, id long, pos int"), first)
+    told = seeded.join(heads, PLACE, "left").join(_words_of(texts, met, BACK), PLACE, "left")
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row a document: starts of its repeats, and the windows that are left to meet one another."""
         for b in batches:
-            text, ids, alone, heads = b["text"].tolist(), b["id"].to_numpy(), b["alone"].tolist(), b["heads"].tolist()
+            text, alone, heads, told = b["text"].tolist(), b["alone"].tolist(), b["heads"].tolist(), b["told"].tolist()
+            rows = []
             for g in groups(text):
                 s = _Seeds(text[g])
                 pick = s.repeated(alone[g])
                 cuts = np.searchsorted(s.anchor_doc, np.arange(len(text[g]) + 1))
-                first = s.offset[s.head]
-                for i, own in enumerate(heads[g]):
-                    pick[cuts[i] : cuts[i + 1]] &= np.isin(first[cuts[i] : cuts[i + 1]], own)
-                at = np.flatnonzero(np.repeat(pick, s.tail - s.head))
-                if len(at):
-                    yield pd.DataFrame({"window": _long(s.windows()[at]), "id": ids[g][s.doc[at]], "start": s.offset[at]})
-
-    first = (
-        seeded.join(heads, "id")
-        .mapInPandas(windows, "window long, id long, start int")
-        .groupBy("window")
-        .agg(F.min(F.struct("id", "start")).alias("w"))
-        .select("w.id", F.shiftleft(F.col("w.start").cast("long"), 32).bitwiseOR(F.col("window").bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"))
-        .groupBy("id")
-        .agg(F.collect_list("place").alias("firsts"))
+                spans = np.searchsorted(s.doc, np.arange(len(text[g]) + 1))
+                for i, first in enumerate(heads[g]):
+                    part = slice(cuts[i], cuts[i + 1])
+                    if first is not None:
+                        pick[part] &= ~np.isin(s.anchor_at[part], first)
+                left, window = np.repeat(pick, s.tail - s.head), s.windows()
+                for i, own in enumerate(s.words.split):
+                    again, span = _repeats(own, told[g][i]), slice(spans[i], spans[i + 1])
+                    at = np.flatnonzero(left[span])
+                    at = at[~np.isin(s.offset[span][at], again)]
+                    rows.append((_sign(text[g][i]), again.astype(np.int32), _long(window[span][at]), s.offset[span][at].astype(np.int32)))
+            out = pd.DataFrame(rows, columns=["sign", "again", "window", "start"])
+            yield pd.concat([b[["late", "id"]].reset_index(drop=True), out], axis=1)
+
+    # One more exchange, so that what was extended is worked out once and serves three uses.
+    extended = (
+        told.where("heads is not null or told is not null")
+        .select("late", "id", "text", "alone", "heads", "told")
+        .mapInPandas(extend, "late boolean, id long, sign long, again array<int>, window array<long>, start array<int>")
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
     )
+    windows = extended.select(*PLACE, F.explode(F.arrays_zip("window", "start")).alias("w")).select(F.col("w.window").alias("key"), *PLACE, F.col("w.start").alias("pos"))
+    common = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE, "pos")).alias("e")).where("n > 1")
+    others = _words_of(texts, _matches(windows, common), 0)
+    # Rows that share a place may differ in their texts.
+    found = extended.groupBy(*PLACE).agg(F.collect_set(F.struct("sign", "again")).alias("again"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, alone, firsts, ids = b["text"].tolist(), b["alone"].tolist(), b["firsts"].tolist(), b["id"].tolist()
-            for g in groups(text):
-                s = _Seeds(text[g])
-                again = np.repeat(s.repeated(alone[g]), s.tail - s.head)
-                place = (s.offset << 32) | _long(s.windows() & np.uint64(0xFFFFFFFF))
-                cuts = np.searchsorted(s.doc, np.arange(len(text[g]) + 1))
-                rows = []
-                for i, own in enumerate(s.words.split):
-                    span = slice(cuts[i], cuts[i + 1])
-                    gone, early = again[span], firsts[g][i]
-                    if gone.any() and early is not None and len(early):
-                        gone = gone & ~np.isin(place[span], early)
-                    starts = s.offset[span][gone]
-                    cover = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + LENGTH, -1)
-                    removed = np.cumsum(cover[:-1]) > 0
-                    n = int(removed.sum())
-                    kept = b" ".join(own if not n else [w for w, r in zip(own, removed.tolist(), strict=True) if not r])
-                    rows.append((len(own), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
-                out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
-                out.insert(0, "id", ids[g])
-                yield out if with_text else out.drop(columns="kept_text")
-
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = seeded.join(first, "id", "left").mapInPandas(judge, schema)
-    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", "doc_id")
+            rows = []
+            for text, again, told in zip(b["text"], b["again"], b["told"], strict=True):
+                own = (text or "").encode("utf-8", "surrogatepass").split()
+                starts = _repeats(own, told)
+                for r in again if again is not None else ():
+                    if len(again) == 1 or r["sign"] == _sign(text):
+                        starts = np.union1d(starts, r["again"]).astype(np.int64)
+                cover = np.zeros(len(own) + 1, np.int64)
+                np.add.at(cover, starts, 1)
+                np.add.at(cover, starts + LENGTH, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                n = int(gone.sum())
+                kept = b" ".join(own if not n else [w for w, r in zip(own, gone.tolist(), strict=True) if not r])
+                rows.append((len(own), n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if with_text else None))
+            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
+            out.insert(0, "doc_id", b["id"].astype("Int64").mask(b["late"].to_numpy()))
+            yield out if with_text else out.drop(columns="kept_text")
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return texts.join(found, PLACE, "left").join(others, PLACE, "left").mapInPandas(judge, schema)
 
 
 ORACLE_SQL = r"""

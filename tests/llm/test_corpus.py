@@ -688,6 +688,26 @@ def test_passages_against_brute_force(spark):
         assert got[i]["n_words"] - got[i]["n_removed"] == len(want.split())
 
 
+def test_passages_where_places_are_hot(spark, monkeypatch):
+    """One passage and one document in very many rows, in parts and blocks; rows of one id, and null ids."""
+    monkeypatch.setattr(substr, "HOT", 5)
+    monkeypatch.setattr(substr, "ASKED", 3)
+    monkeypatch.setattr(substr, "STRIDE", 16)
+    r = random.Random(3)
+    word = lambda k: [f"{k}{r.randrange(10**6)}" for _ in range(60)]
+    passage, copy = word("p"), word("c")
+    texts = [" ".join([*word("a"), *passage[: r.randint(25, 60)], *word("b")]) for _ in range(40)] + [" ".join(copy)] * 40
+    rows = substr.remove_repeats(docs_of(spark, texts), with_text=True).collect()
+    want = brute_removed(texts)
+    assert all(x["kept_text"].encode() == want[x["doc_id"]] for x in rows) and len(rows) == 80
+    # The same id twice with two texts, of which the later one's tail stands in the first; and null ids, last.
+    one, two = " ".join(copy), " ".join([*word("x"), *copy[10:50]])
+    big = (1 << 63) - 1
+    odd = spark.createDataFrame([(7, one), (7, two), (7, one), (None, two), (None, one), (big, " ".join(copy[:30])), (8, None)], "doc_id long, text string")
+    got = sorted(((-1 if x["doc_id"] is None else x["doc_id"]), x["n_words"], x["n_removed"]) for x in substr.remove_repeats(odd).collect())
+    assert got == [(-1, 60, 60), (-1, 100, 100), (7, 60, 0), (7, 60, 0), (7, 100, 40), (8, 0, 0), (big, 30, 30)]
+
+
 # --- odd tables -------------------------------------------------------------------
 
 
