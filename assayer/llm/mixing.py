@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import kept
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3  # hexadecimal digits of the seeded order: 4096 slices of a source
 
@@ -86,6 +88,8 @@ def mix(
         order.alias("ord"),
         *along,
     ).withColumn("slice", F.substring("ord", 1, BUCKET_DIGITS))
+    if not carry:
+        base = kept(base, "sizes")  # words are counted once
     slices = base.select("source", "slice", "size").groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     goal = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, epochs)
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
