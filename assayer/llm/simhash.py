@@ -10,11 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, kept, ready
 
 SEED = 42
 BITS = 3  # fingerprints link at this many differing bits or fewer
 BLOCK = 2048  # fingerprints of one anchor that are compared at a time
+COPIES = 100_000  # rows of one fingerprint that meet its component in one part, about
 
 
 def fingerprint(text: str | None) -> int:
@@ -133,13 +134,16 @@ def whole_units(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect whatever links at BITS bits or fewer.
 
-    Anchors with one fingerprint, or no home, are dropped after a count that
-    combines on the map side. Anchors with over BLOCK fingerprints are cut
+    Fingerprints are spread before they are replicated. Anchors with one
+    fingerprint, or no home, are dropped after a count that combines on the
+    map side. Anchors with over BLOCK fingerprints are cut
     into blocks by a hash of the fingerprint, and each pair of blocks is a
     unit of its own, so no task holds more than two blocks of an anchor. Each
     unit gives a spanning forest of its links, never all pairs.
     """
-    rows = anchor_rows(fps)
+    # A number of partitions, since a small table would be merged into a few before it grows 35-fold.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = anchor_rows(spread)
     busy = (
         rows.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home"))
@@ -177,20 +181,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns a row per row of ``docs``: doc_id, fingerprint (16 lowercase hex
     digits), component_id (smallest doc_id reachable, itself included).
     Exact copies of a fingerprint meet in one aggregation with map-side
-    combining, so only distinct fingerprints are compared. Null and empty
+    combining, so only distinct fingerprints are compared, and get their
+    component in parts of about COPIES rows. A text is hashed by one task in
+    memory of some 40 times its size; an empty table gives no rows; other
+    columns play no part, whatever their names. Null and empty
     texts have fingerprint 0 and link like any other. Rows with a null id get
     the smallest id of what they link with, if any. Repeated rows stay.
     """
+    ready(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    first = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("parts")), "prints")
     of = components(links(first.select("fp")))
     roots = (
         first.join(of.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
+        .select("fp", "least_id", "parts", F.coalesce("component", "fp").alias("root"))
     )
     ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = roots.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    by_print = roots.join(ids, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # Fingerprints of over COPIES rows are dealt into parts: a row for COPIES rows at most.
+    many = F.broadcast(first.where("parts > 1").select("fp", "parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), "parts"), F.lit(0)).cast("int")
+    dealt = prints.join(many, "fp", "left").select("doc_id", "fp", part.alias("part"))
+    return dealt.join(by_print, ["fp", "part"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
