@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, ready
 
 BUCKETS = 4096  # hashed byte n-grams
 TRAIN_ROWS = 4000  # labelled documents that a model is fitted on, at most
@@ -19,11 +19,15 @@ TRAIN_EACH = 1000  # of one language, at most
 MARGIN = 0.1  # nats between the two nearest codewords; closer ones are ambiguous
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDY = re.compile(r"[^\W\d_]")  # letters, and numbers such as ½ and Ⅷ
 #: Bytes as they count: ASCII letters in lower case and all bytes of other characters; all else is a gap.
 _FOLD = np.array([b if b >= 128 else (b | 32 if chr(b).isalpha() else 32) for b in range(256)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORDY.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Root relative frequencies of hashed byte bigrams and trigrams, of length 1."""
     a = _FOLD[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
@@ -113,6 +117,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     from pyspark.sql import Window
 
+    ready(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(id_col, 5) != 0))
     by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), "id"), "id")
     ranked = known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang")).distinct()
@@ -145,14 +150,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Null texts and texts without a letter are ``und`` with score 0, and so is
     everything if the model knows no language. Ties of codewords go to the
-    first language in code point order and are ambiguous.
+    first language in code point order and are ambiguous. Rows stay one for
+    one: repeated ones and those with a null id are judged like any other; an
+    empty table gives none. Texts are read whole; other columns play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights a bit
+    shared = ready(docs.sparkSession).sparkContext.broadcast(model)  # a few thousand weights a bit
 
     def judge(texts: list) -> list[tuple]:
         model = shared.value
         out: list[tuple] = [(UNKNOWN, 0.0, False)] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and model.langs and _LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and model.langs and has_letter(t)]
         if some:
             at, score, vague = model.predict(np.array([features(texts[i]) for i in some]))
             for i, a, s, v in zip(some, at, score, vague, strict=True):

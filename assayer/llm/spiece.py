@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 SPACE = "▁"
 CACHED_PARTS = 300_000  # distinct parts in each of the two generations that a worker remembers
 CACHED_PAIRS = 1_000_000  # pairs of tokens whose compatibility it remembers
@@ -204,7 +206,7 @@ def encoder(name: str, vocabulary: Vocabulary) -> Encoder:
 
 
 def _apply(docs: DataFrame, model_file: str, id_col: str, text_col: str, row, schema: str) -> DataFrame:
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))  # tens of thousands of pieces
+    vocabulary = ready(docs.sparkSession).sparkContext.broadcast(Vocabulary.load(model_file))  # tens of thousands of pieces
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(model_file, vocabulary.value)
@@ -232,7 +234,10 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     A null text is an empty one: begin and end ids only. Spaces are marked and
     kept, a mark stands before the first character, characters without a piece
-    become their bytes' ids. Rows stay one for one.
+    become their bytes' ids. Rows stay one for one, repeated ones and those
+    with a null id too; an empty table gives none. A text is encoded by one
+    task, however long, in time about linear in it; what a worker remembers is
+    bounded (CACHED_PARTS, CACHED_PAIRS). Other columns play no part.
     """
     return _apply(docs, model_file, id_col, text_col, _whole, "n_tokens long, ids array<int>, decoded_sha256 string")
 

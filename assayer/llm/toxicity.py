@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_of, sampled
+from .common import cut, fold_of, ready, sampled
 
 POSITIVE_ROWS = 3000  # confirmed toxic documents that a model is fitted on, at most
 UNLABELLED_ROWS = 6000  # other documents, at most
@@ -123,16 +123,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     to the driver. Without toxic rows or telling features every score is the
     prior, below the threshold.
     """
-    spark = docs.sparkSession
+    spark = ready(docs.sparkSession)
     told = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold_of("doc_id", 3) != 1))
         .groupBy(F.col("doc_id").cast("long").alias("id"))
         .agg(F.max("toxic").alias("toxic"))
     )
     n = told.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("bad")).first()
-    prior = min(n["bad"] / n["all"], THRESHOLD - 0.05) if n["all"] else 0.0
-    # None is toxic by any label: score low.
-    empty = Model({}, float(np.log(max(prior, 1e-3) / (1 - max(prior, 1e-3)))))
+    prior = min(max(n["bad"] / n["all"] if n["all"] else 0.0, 1e-3), 1 - 1e-3)
+    empty = Model({}, float(np.log(prior / (1 - prior))))
     if not n["bad"]:
         return empty
     ids = docs.where(F.col(id_col).isNotNull() & (fold_of(id_col, 3) != 1)).select(F.col(id_col).cast("long").alias("id")).distinct()
@@ -191,13 +190,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for i, r in enumerate(rows):
         x[i, [place[w] for w in r["words"]]] = 1
     y = np.array([r["bad"] for r in rows], bool)
-    w = fit(x[y], x[~y], max(prior, 1e-3))
+    w = fit(x[y], x[~y], prior)
     return Model({v: float(c) for v, c in zip(vocabulary, w, strict=False)}, float(w[-1]))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the model's score, 0 to 1, of every row's whole text; null texts count as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MARKS weights at most
+    """(doc_id, score): the model's score, 0 to 1, of every row's whole text; null texts count as empty.
+
+    Rows stay one for one, repeated ones and those with a null id too; an empty
+    table gives none. Other columns play no part.
+    """
+    shared = ready(docs.sparkSession).sparkContext.broadcast(model)  # MARKS weights at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -209,7 +212,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted), by a model trained on the rows that aren't held out."""
+    """(doc_id, held_out, score, predicted), by a model trained on the rows that aren't held out.
+
+    A row per row, as :func:`scores` has it; a null id isn't held out. A score
+    of exactly THRESHOLD counts as toxic.
+    """
     out = scores(docs, train(docs, labels))
     return out.select(
         "doc_id",

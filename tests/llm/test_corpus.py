@@ -378,7 +378,9 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()
     told = got.merge(con.execute("SELECT doc_id, toxic FROM labels").df())
     held = told[told.held_out]
-    assert (held[held.toxic == 0].predicted == 0).mean() >= 0.97
+    assert (held[held.toxic == 0].predicted == 0).all()
+    # 13 of 18: four hold none of the marks that three or more of the 33 toxic training documents share, one scores 0.69.
+    assert (held[held.toxic == 1].predicted == 1).sum() >= 13
     english = con.execute("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\b(idiot|scum|clown|trash)\\b')").df()
     assert got.merge(english).predicted.mean() >= 0.75
 
@@ -413,6 +415,22 @@ def test_language_on_held_out_rows(spark):
     assert (held.lang == held.lang_pred).mean() >= 0.97 and got.score.between(0, 1).all()
 
 
+def test_risk_against_plain_computation():
+    """A step follows the gradient of prior * R+(P) + R-(U) - prior * R-(P); where the latter two fall below zero, it goes against theirs."""
+    rng = np.random.default_rng(2)
+    pos, unl = (rng.random((40, 3)) < 0.6).astype(float), (rng.random((60, 3)) < 0.2).astype(float)
+    one = lambda x, w: 1 / (1 + np.exp(-(np.c_[x, np.ones(len(x))] @ w)))
+    for prior, clamped in ((0.2, False), (0.9, True)):
+        unl = unl[unl.sum(1) < 2] * (not clamped)  # without any positives the rest falls below zero
+        start = np.append(np.log((pos.sum(0) + 0.5) / 41) - np.log((unl.sum(0) + 0.5) / (len(unl) + 1)), np.log(prior / (1 - prior)))
+        rest = lambda w: one(unl, w).mean() - prior * one(pos, w).mean()  # noqa: B023, E731
+        assert (rest(start) < 0) == clamped
+        risk = (lambda w: -rest(w)) if clamped else (lambda w: prior * (1 - one(pos, w).mean()) + rest(w))  # noqa: B023, E731
+        slope = np.array([(risk(start + e) - risk(start - e)) / 2e-6 for e in np.eye(4) * 1e-6])
+        step = toxicity.fit(pos, unl, prior, steps=1, decay=0.0) - start
+        assert np.allclose(step, -0.02 * slope / (np.abs(slope) + 1e-8), atol=1e-4)
+
+
 def test_rare_languages_are_learned(spark, monkeypatch):
     """Fewer training rows than the frequent languages have: those with a handful keep theirs."""
     monkeypatch.setattr(langid, "TRAIN_ROWS", 60)
@@ -421,6 +439,10 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert langid.train(docs).langs == sorted(set(langs))
 
 
+def test_numbers_are_no_letters():
+    assert not any(map(langid.has_letter, ("", "½ ² Ⅷ 12 _ ٣", "!?"))) and all(map(langid.has_letter, ("½a", "漢", "é")))
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 6, 9, 30])
 def test_codewords_differ(n):
     code = langid.codewords(n)
@@ -782,4 +804,18 @@ def test_pipeline_against_its_parts(spark):
 
 
 def test_pipeline_runs(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 100
+    import glob
+
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert len(ids) > 100
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert [f.rsplit("/", 1)[1].split("-")[1] for f in glob.glob(f"{at}/pipeline-*")] == ["3"]  # the stages' folders go
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    odd_docs(spark).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r["doc_id"] for r in got} <= {4, 5, 6, 7, 8, 9, None} and all(r["n_tokens"] == len(r["ids"]) for r in got)
+    no_docs(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
