@@ -421,7 +421,8 @@ def test_risk_against_plain_computation():
     pos, unl = (rng.random((40, 3)) < 0.6).astype(float), (rng.random((60, 3)) < 0.2).astype(float)
     one = lambda x, w: 1 / (1 + np.exp(-(np.c_[x, np.ones(len(x))] @ w)))
     for prior, clamped in ((0.2, False), (0.9, True)):
-        unl = unl[unl.sum(1) < 2] * (not clamped)  # without any positives the rest falls below zero
+        if clamped:  # what is unlabelled looks like no positive, so the rest falls below zero
+            pos[:, 2], unl = 0, np.tile([0.0, 0.0, 1.0], (60, 1))
         start = np.append(np.log((pos.sum(0) + 0.5) / 41) - np.log((unl.sum(0) + 0.5) / (len(unl) + 1)), np.log(prior / (1 - prior)))
         rest = lambda w: one(unl, w).mean() - prior * one(pos, w).mean()  # noqa: B023, E731
         assert (rest(start) < 0) == clamped
