@@ -34,10 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    ready(spark)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: the one that spark.checkpoint.dir names; a temporary one only where none is named and Spark is local."""
     sc = spark.sparkContext
@@ -49,10 +45,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    shared_folder(spark)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: later jobs don't repeat its work."""
     shared_folder(df.sparkSession)
@@ -96,9 +88,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has the long columns a and b. Returns (node, component) with the
     smallest reachable node as component, for every node that is not itself the
     smallest of its component. Rounds alternate large-star and small-star
-    steps; each is two aggregations with map-side combining and two equi-joins,
-    so a hub's edges are never gathered in one place, and each round's edges
-    go to the checkpoint folder. Empty edges give an empty result; self-loops
+    steps; each is two aggregations with map-side combining and two equi-joins
+    on the node, where adaptive execution splits a hub's edges (skew joins,
+    which are on by default); each round's edges go to the checkpoint folder. Empty edges give an empty result; self-loops
     and nulls are ignored.
     """
     e = (

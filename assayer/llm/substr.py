@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import operator
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from .windows import Words, groups, winnow
 LENGTH = 20  # words of a window: the shortest repeat that counts
 SEED_WORDS = 6  # words of an anchor
 STRIDE = 256  # words of a diagonal that make up one match, at most
-HOT = 50_000  # places of one anchor that meet its first one in one part, about
+HOT = 50_000  # places of one anchor from which its first one is broadcast to them
 ASKED = 512  # matches that ask one document for its words at a time, about
 BACK = LENGTH - SEED_WORDS  # words that a window may start before its anchor
 PLACE = ["late", "id"]  # where a text stands: null ids after all others
@@ -76,36 +78,45 @@ def _sign(text: str | None) -> int:
 def _matches(places: DataFrame, first: DataFrame) -> DataFrame:
     """Diagonals on which places (key, late, id, pos) meet the first place of their key.
 
-    Keys with many places are dealt into parts of about HOT of them. A match
-    stands for up to STRIDE words of a document's diagonal against another's:
-    it starts at its first seed ``a`` and ends at its last ``b``; ``shift`` is
-    how far the other's words lie behind.
+    Keys with many places have their first one broadcast to them, others join
+    it. A match stands for up to STRIDE words of a document's diagonal against
+    another's: it starts at its first seed ``a`` and ends at its last ``b``;
+    ``shift`` is how far the other's words lie behind.
     """
-    parts = F.ceil(F.col("n") / HOT).cast("int")
     # A row for HOT places at most.
-    many = F.broadcast(first.select("key", parts.alias("parts")).where("parts > 1"))
-    dealt = places.join(many, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*PLACE, "pos"), "parts"), F.lit(0)).cast("int"))
-    leads = first.select("key", F.col("e.late").alias("o_late"), F.col("e.id").alias("o_id"), F.col("e.pos").alias("o_pos"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    here, there = F.struct(*PLACE, "pos"), F.struct("o_late", "o_id", "o_pos")
+    many = F.broadcast(first.where(F.col("n") > HOT).select("key", F.col("e").alias("hot")))
+    lead = first.select(F.col("key").alias("of"), "e")
+    here = F.struct(*PLACE, "pos")
+    # Places of hot keys are spread by a key of their own, which finds nothing more.
+    own = F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64(*PLACE, "pos", "key"))
+    met = places.join(many, "key", "left").withColumn("of", own).join(lead, "of", "left").withColumn("o", F.coalesce("hot", "e"))
     return (
-        dealt.join(leads, ["key", "part"])
-        .where(here != there)
-        .groupBy(*PLACE, "o_late", "o_id", (F.col("pos") - F.col("o_pos")).alias("shift"), F.floor(F.col("pos") / STRIDE).alias("stretch"))
+        met.where((here != F.col("o")) & F.col("o.late").isNotNull() & F.col("o.id").isNotNull())
+        .groupBy(
+            *PLACE, F.col("o.late").alias("o_late"), F.col("o.id").alias("o_id"),
+            (F.col("pos") - F.col("o.pos")).alias("shift"), F.floor(F.col("pos") / STRIDE).alias("stretch"),
+        )
         .agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
         .select(*PLACE, "o_late", "o_id", "shift", "a", "b")
     )
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Rows with a place: said beforehand, so that joins don't say it on one of two uses of an exchange."""
+    return rows.where(" and ".join(f"{c} is not null" for c in (*PLACE, "key") if c in rows.columns))
+
+
 def _words_of(texts: DataFrame, matches: DataFrame, before: int) -> DataFrame:
-    """(late, id, told): for each document the words that its matches are to be compared with, as structs (at, words).
+    """(late, id, told): for each document the words that its matches are to be compared with.
 
-    ``at`` is where the document would have them, from ``before`` words before
+    Each is where the document would have them, in four bytes, and the words, from ``before`` words before
     a match's first seed to LENGTH words after the start of its last. Matches
     ask a document in blocks of about ASKED, however many there are.
     """
     blocks = F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks")
-    # A row for ASKED matches at most.
-    many = F.broadcast(matches.groupBy("o_late", "o_id").agg(blocks).where("blocks > 1"))
+    # A row for ASKED matches at most. All columns are asked for, so that both uses of the matches have one exchange.
+    every = F.max(F.struct(*PLACE, "shift", "a", "b")).alias("every")
+    many = F.broadcast(matches.groupBy("o_late", "o_id").agg(blocks, every).where("blocks > 1 and every is not null").drop("every"))
     asked = (
         matches.join(many, ["o_late", "o_id"], "left")
         .withColumn("block", F.coalesce(F.pmod(F.xxhash64(*PLACE, "a", "shift"), "blocks"), F.lit(0)).cast("int"))
@@ -115,30 +126,38 @@ def _words_of(texts: DataFrame, matches: DataFrame, before: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows, size = [], 0
             for text, asked in zip(b["text"], b["asked"], strict=True):
-                own, rows = (text or "").encode("utf-8", "surrogatepass").split(), []
+                own = (text or "").encode("utf-8", "surrogatepass").split()
                 for m in asked:
                     at = max(m["a"] - m["shift"] - before, 0)
                     words = b" ".join(own[at : m["b"] - m["shift"] + LENGTH])
-                    rows.append((m["to_late"], m["to_id"], at + m["shift"], words))
-                yield pd.DataFrame(rows, columns=["late", "id", "at", "words"])
+                    rows.append((m["to_late"], m["to_id"], (at + m["shift"]).to_bytes(4, "little", signed=True) + words))
+                    size += len(words)
+                if size > 1 << 23:
+                    yield pd.DataFrame(rows, columns=["late", "id", "told"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["late", "id", "told"])
 
-    told = texts.join(asked, PLACE).select("text", "asked").mapInPandas(run, "late boolean, id long, at int, words binary")
-    return told.groupBy(*PLACE).agg(F.collect_list(F.struct("at", "words")).alias("told"))
+    told = _whole(texts.join(asked, PLACE).select("text", "asked").mapInPandas(run, "late boolean, id long, told binary"))
+    return told.groupBy(*PLACE).agg(F.collect_list("told").alias("told"))
 
 
 def _repeats(own: list[bytes], told) -> np.ndarray:
     """Starts of windows of a document that equal, word for word, what it is told: maximal runs of LENGTH equal words or more."""
     starts = []
     for m in told if told is not None else ():
-        other, at = m["words"].split(b" "), m["at"]
-        skip = max(-at, 0)
-        mine = own[max(at, 0) : at + len(other)]
-        same = np.fromiter((x == y for x, y in zip(mine, other[skip:], strict=False)), bool)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+        other, at = m[4:].split(b" "), int.from_bytes(m[:4], "little", signed=True)
+        other, at = other[max(-at, 0) :], max(at, 0)
+        mine = own[at : at + len(other)]
+        if mine == other:
+            same = np.ones(len(mine), np.int8)
+        else:
+            same = np.fromiter(map(operator.eq, mine, other), np.int8)
+        edges = np.flatnonzero(np.diff(same, prepend=0, append=0))
         for a, b in edges.reshape(-1, 2).tolist():
             if b - a >= LENGTH:
-                starts.append(np.arange(a, b - LENGTH + 1) + max(at, 0))
+                starts.append(np.arange(a, b - LENGTH + 1) + at)
     return np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
 
 
@@ -189,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pd.DataFrame({"key": _long(s.anchor), "late": late[g][s.anchor_doc], "id": ids[g][s.anchor_doc], "pos": s.anchor_at})
 
     counted = (
-        texts.mapInPandas(anchors, "key long, late boolean, id long, pos int")
+        _whole(texts.mapInPandas(anchors, "key long, late boolean, id long, pos int"))
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE, "pos")).alias("e"))
     )
@@ -207,11 +226,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     first = counted.where("n > 1")
     heads = first.groupBy("e.late", "e.id").agg(F.collect_list("e.pos").alias("heads"))
-    met = _matches(seeded.mapInPandas(places, "key long, late boolean, id long, pos int"), first)
+    met = _matches(_whole(seeded.mapInPandas(places, "key long, late boolean, id long, pos int")), first)
     told = seeded.join(heads, PLACE, "left").join(_words_of(texts, met, BACK), PLACE, "left")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row a document: starts of its repeats, and the windows that are left to meet one another."""
+        """A row a document: starts of its repeats, and the windows that are left to meet one another, packed."""
         for b in batches:
             text, alone, heads, told = b["text"].tolist(), b["alone"].tolist(), b["heads"].tolist(), b["told"].tolist()
             rows = []
@@ -229,22 +248,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     again, span = _repeats(own, told[g][i]), slice(spans[i], spans[i + 1])
                     at = np.flatnonzero(left[span])
                     at = at[~np.isin(s.offset[span][at], again)]
-                    rows.append((_sign(text[g][i]), again.astype(np.int32), _long(window[span][at]), s.offset[span][at].astype(np.int32)))
-            out = pd.DataFrame(rows, columns=["sign", "again", "window", "start"])
-            yield pd.concat([b[["late", "id"]].reset_index(drop=True), out], axis=1)
+                    rows.append(pickle.dumps((_sign(text[g][i]), again, _long(window[span][at]), s.offset[span][at])))
+            yield pd.DataFrame({"late": b["late"], "id": b["id"], "packed": rows})
 
-    # One more exchange, so that what was extended is worked out once and serves three uses.
-    extended = (
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            parts = [pickle.loads(p)[2:] for p in b["packed"]]
+            n = [len(window) for window, _ in parts]
+            key, pos = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            yield pd.DataFrame({"key": key, "late": np.repeat(b["late"].to_numpy(), n), "id": np.repeat(b["id"].to_numpy(), n), "pos": pos})
+
+    # One more exchange of one column, so that what was extended is worked out once and serves three uses.
+    extended = _whole(
         told.where("heads is not null or told is not null")
         .select("late", "id", "text", "alone", "heads", "told")
-        .mapInPandas(extend, "late boolean, id long, sign long, again array<int>, window array<long>, start array<int>")
-        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
-    )
-    windows = extended.select(*PLACE, F.explode(F.arrays_zip("window", "start")).alias("w")).select(F.col("w.window").alias("key"), *PLACE, F.col("w.start").alias("pos"))
+        .mapInPandas(extend, "late boolean, id long, packed binary")
+    ).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
+    windows = _whole(extended.mapInPandas(unpack, "key long, late boolean, id long, pos int"))
     common = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE, "pos")).alias("e")).where("n > 1")
     others = _words_of(texts, _matches(windows, common), 0)
     # Rows that share a place may differ in their texts.
-    found = extended.groupBy(*PLACE).agg(F.collect_set(F.struct("sign", "again")).alias("again"))
+    found = extended.groupBy(*PLACE).agg(F.collect_set("packed").alias("again"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -252,9 +278,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, again, told in zip(b["text"], b["again"], b["told"], strict=True):
                 own = (text or "").encode("utf-8", "surrogatepass").split()
                 starts = _repeats(own, told)
-                for r in again if again is not None else ():
-                    if len(again) == 1 or r["sign"] == _sign(text):
-                        starts = np.union1d(starts, r["again"]).astype(np.int64)
+                for packed in again if again is not None else ():
+                    sign, repeats, _, _ = pickle.loads(packed)
+                    if len(again) == 1 or sign == _sign(text):
+                        starts = np.union1d(starts, repeats).astype(np.int64)
                 cover = np.zeros(len(own) + 1, np.int64)
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + LENGTH, -1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -440,6 +442,47 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert langid.train(docs).langs == sorted(set(langs))
 
 
+def test_toxicity_scores_against_plain_computation(spark, con):
+    """Every row's score from the same model, word by word; the model is the same each time."""
+    docs, labels = table(spark, MID, "documents"), table(spark, MID, "labels")
+    model = toxicity.train(docs, labels)
+    assert model == toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op4_toxicity"](spark, MID).collect()}
+    for i, t in duckdb.connect().execute(f"SELECT doc_id, text FROM '{MID}/documents.parquet'").fetchall():
+        words = {"".join(g) for k, g in itertools.groupby(t.lower(), lambda c: c.isalnum() and not c.isdecimal()) if k}
+        z = model.bias + sum(v for m, v in model.weights.items() if (m in words if not m.endswith("*") else any(w.startswith(m[:-1]) for w in words)))
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["predicted"] == int(want >= 0.7)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_languages_against_plain_computation(spark, con):
+    """Every row's decoding from the same model, with n-grams counted byte by byte and losses added bit by bit."""
+    model = langid.train(table(spark, SF, "documents"))
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_language_id"](spark, SF).collect()}
+    for i, t in con.execute("SELECT doc_id, text FROM documents").fetchall():
+        folded = re.sub(rb" +", b" ", bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode()))
+        raw = b" " + folded + b"  "
+        counts = Counter()
+        for k in range(len(raw) - 1):
+            two = (raw[k] * 0x9E3779B1 + raw[k + 1] * 0x85EBCA77) & 0xFFFFFFFF
+            counts[((two ^ (two >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20] += 1
+            if k < len(raw) - 2:
+                three = (two + raw[k + 2] * 0xC2B2AE3D + 0x27D4EB2F) & 0xFFFFFFFF
+                counts[((three ^ (three >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20] += 1
+        x = {b: math.sqrt(n) for b, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        margins = [sum(v / norm * float(model.weights[b, j]) for b, v in x.items()) + float(model.weights[-1, j]) for j in range(model.code.shape[1])]
+        losses = [sum(float(model.trust[j]) * math.log1p(math.exp(-m * float(c[j]))) for j, m in enumerate(margins)) for c in model.code]
+        best = min(range(len(losses)), key=losses.__getitem__)
+        if any(c.isalpha() for c in t):
+            assert got[i]["score"] == pytest.approx(1 / sum(math.exp(losses[best] - v) for v in losses), abs=1e-3)
+            assert got[i]["lang_pred"] == model.langs[best] or sorted(losses)[1] - losses[best] < 1e-3
+        else:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_numbers_are_no_letters():
     assert not any(map(langid.has_letter, ("", "½ ² Ⅷ 12 _ ٣", "!?"))) and all(map(langid.has_letter, ("½a", "漢", "é")))
 
