@@ -161,6 +161,26 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+def local_turn(role: str, text: Column, kinds: Column | None = None) -> Column:
+    """A local model's turn: struct (role, content), content the media parts of ``kinds`` (an array of video or image) and then the text."""
+    part = lambda kind, said: F.struct(kind.alias("type"), said.alias("text"))
+    lead = F.array(part(F.lit("text"), text))
+    if kinds is None:
+        return F.struct(F.lit(role).alias("role"), lead.alias("content"))
+    media = F.transform(kinds, lambda k: part(k, F.lit(None).cast("string")))
+    return F.struct(F.lit(role).alias("role"), F.concat(media, lead).alias("content"))
+
+
+def video_turn(text: Column, frames: Column) -> Column:
+    """A user turn whose frames, however many, are one video; text alone without any."""
+    return local_turn("user", text, F.when(F.size(frames) > 0, F.array(F.lit("video"))).otherwise(F.array().cast("array<string>")))
+
+
+def image_turn(text: Column, frames: Column) -> Column:
+    """A user turn with an image for each frame; text alone without any."""
+    return local_turn("user", text, F.transform(frames, lambda f: F.lit("image")))
+
+
 def quality_messages(mode: str, reference: Column, rationale: Column, label: Column | None = None, answer: Column | None = None) -> Column:
     """The conversation that asks for a grade; ``noanswer`` shows no verdict."""
     if mode == "noanswer":

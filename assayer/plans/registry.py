@@ -954,6 +954,23 @@ def single_media(spark, sf_dir):
     return d.select("doc_id", media.single_problem("p", frames).alias("problem"))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, source, doc_id % 4 AS n FROM documents), t AS (
+SELECT doc_id, 'video' AS turn, source, CASE WHEN n > 0 THEN ['video', 'text'] ELSE ['text'] END AS kinds FROM d
+UNION ALL SELECT doc_id, 'image', source, list_transform(range(n), lambda x: 'image') || ['text'] FROM d UNION ALL SELECT doc_id, 'text', source, ['text'] FROM d)
+SELECT doc_id, turn, CASE WHEN turn = 'text' THEN 'assistant' ELSE 'user' END AS role, array_to_string(kinds, ' ') AS kinds, source AS text FROM t"""
+)
+def local_turns(spark, sf_dir):
+    """A local model's turns with a video, with images, and of text, by how many frames there are."""
+    d = table(spark, sf_dir, "documents")
+    frames = F.slice(F.array(*[F.lit(f"f{i}") for i in range(3)]), 1, (F.col("doc_id") % 4).cast("int"))
+    turns = {"video": assemble.video_turn(F.col("source"), frames), "image": assemble.image_turn(F.col("source"), frames), "text": assemble.local_turn("assistant", F.col("source"))}
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("turn"), t.alias("t")) for n, t in turns.items()])).alias("x")
+    rows = d.select("doc_id", named).select("doc_id", "x.turn", "x.t.role", "x.t.content")
+    kinds = F.array_join(F.transform("content", lambda p: p["type"]), " ")
+    return rows.select("doc_id", "turn", "role", kinds.alias("kinds"), F.element_at("content", -1)["text"].alias("text"))
+
+
 @query("SELECT user_id, 'checkpoint-' || max(event_id) AS latest FROM events GROUP BY user_id")
 def latest_checkpoint(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("checkpoint-"), F.col("event_id").cast("string")).alias("name"))
