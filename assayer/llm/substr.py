@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import operator
 import pickle
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from .windows import Words, groups, winnow
 
 LENGTH = 20  # words of a window: the shortest repeat that counts
 SEED_WORDS = 6  # words of an anchor
-STRIDE = 256  # words of a diagonal that make up one match, at most
+STRIDE = 1024  # words of a diagonal that make up one match, at most
 HOT = 50_000  # places of one anchor from which its first one is broadcast to them
 ASKED = 512  # matches that ask one document for its words at a time, about
 BACK = LENGTH - SEED_WORDS  # words that a window may start before its anchor
@@ -57,13 +56,17 @@ class _Seeds:
         w = self.words
         return w.spans(w.begin[self.start], w.end[self.start + LENGTH - 1]) if len(self.start) else np.zeros(0, np.uint64)
 
-    def repeated(self, alone: list) -> np.ndarray:
-        """Which anchors occur elsewhere as well. alone: for each text, the hashes of those that don't."""
+    def open(self, settled: list) -> np.ndarray:
+        """Which anchors stand at a later place than their first one. settled: for each text, all others, as place << 16 and 16 bits of the hash.
+
+        The bits are for rows that share a place.
+        """
         out = np.ones(len(self.anchor), bool)
-        cuts = np.searchsorted(self.anchor_doc, np.arange(len(alone) + 1))
-        for i, x in enumerate(alone):
+        cuts = np.searchsorted(self.anchor_doc, np.arange(len(settled) + 1))
+        own = (self.anchor_at.astype(np.int64) << 16) | (self.anchor & np.uint64(0xFFFF)).view(np.int64)
+        for i, x in enumerate(settled):
             if x is not None and len(x):
-                out[cuts[i] : cuts[i + 1]] = ~np.isin(self.anchor[cuts[i] : cuts[i + 1]].view(np.int64), x)
+                out[cuts[i] : cuts[i + 1]] = ~np.isin(own[cuts[i] : cuts[i + 1]], x)
         return out
 
 
@@ -144,20 +147,32 @@ def _words_of(texts: DataFrame, matches: DataFrame, before: int) -> DataFrame:
 
 
 def _repeats(own: list[bytes], told) -> np.ndarray:
-    """Starts of windows of a document that equal, word for word, what it is told: maximal runs of LENGTH equal words or more."""
+    """Starts of windows of a document that equal, word for word, what it is told: maximal runs of LENGTH equal words or more.
+
+    Such a run covers the LENGTH-th place after any that differs, so only
+    these are looked at, and extended both ways where they are equal.
+    """
     starts = []
     for m in told if told is not None else ():
         other, at = m[4:].split(b" "), int.from_bytes(m[:4], "little", signed=True)
-        other, at = other[max(-at, 0) :], max(at, 0)
+        if at < 0:
+            other, at = other[-at:], 0
         mine = own[at : at + len(other)]
-        if mine == other:
-            same = np.ones(len(mine), np.int8)
-        else:
-            same = np.fromiter(map(operator.eq, mine, other), np.int8)
-        edges = np.flatnonzero(np.diff(same, prepend=0, append=0))
-        for a, b in edges.reshape(-1, 2).tolist():
-            if b - a >= LENGTH:
-                starts.append(np.arange(a, b - LENGTH + 1) + at)
+        n, i = len(mine), LENGTH - 1
+        if n >= LENGTH and mine == other:
+            starts.append(np.arange(at, at + n - LENGTH + 1))
+            continue
+        while i < n:
+            if mine[i] == other[i]:
+                a, b = i, i + 1
+                while a and mine[a - 1] == other[a - 1]:
+                    a -= 1
+                while b < n and mine[b] == other[b]:
+                    b += 1
+                if b - a >= LENGTH:
+                    starts.append(np.arange(at + a, at + b - LENGTH + 1))
+                i = b
+            i += LENGTH
     return np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
 
 
@@ -169,9 +184,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed. Windows are judged on the input.
 
     1. Every document's winnowed anchors are counted by hash (combined on the
-       map side); what occurs once in the corpus goes back to its document as
-       a list.
-    2. All other places of an anchor join its earliest one. Places on one
+       map side); each document is told where its anchors stand that occur
+       once in the corpus, and those that stand first.
+    2. All later places of an anchor join its earliest one. Places on one
        diagonal of two documents become a match, which is extended both ways
        by comparing words: the earlier document's words travel to the later
        one, and maximal runs of LENGTH equal words or more are repeats.
@@ -212,43 +227,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE, "pos")).alias("e"))
     )
-    alone = counted.where("n = 1").groupBy("e.late", "e.id").agg(F.collect_list("key").alias("alone"))
-    seeded = texts.join(alone, PLACE, "left")
+    # Each document is told which of its anchors need no looking at: those that occur once, and first places.
+    mark = F.shiftleft(F.col("e.pos").cast("long"), 16).bitwiseOR(F.col("key").bitwiseAND(F.lit(0xFFFF)))
+    # (Asking for n keeps it in the exchange, which so serves the first places as well.)
+    marks = counted.where("n > 0").groupBy("e.late", "e.id").agg(F.collect_list(mark).alias("settled"))
+    seeded = texts.join(marks, PLACE, "left")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, ids, late, alone = b["text"].tolist(), b["id"].to_numpy(), b["late"].to_numpy(), b["alone"].tolist()
+            text, ids, late, settled = b["text"].tolist(), b["id"].to_numpy(), b["late"].to_numpy(), b["settled"].tolist()
             for g in groups(text):
                 s = _Seeds(text[g])
-                pick = np.flatnonzero(s.repeated(alone[g]))
+                pick = np.flatnonzero(s.open(settled[g]))
                 doc = s.anchor_doc[pick]
                 yield pd.DataFrame({"key": _long(s.anchor[pick]), "late": late[g][doc], "id": ids[g][doc], "pos": s.anchor_at[pick]})
 
     first = counted.where("n > 1")
-    heads = first.groupBy("e.late", "e.id").agg(F.collect_list("e.pos").alias("heads"))
     met = _matches(_whole(seeded.mapInPandas(places, "key long, late boolean, id long, pos int")), first)
-    told = seeded.join(heads, PLACE, "left").join(_words_of(texts, met, BACK), PLACE, "left")
+    # A document that isn't told any words holds no later place of an anchor.
+    told = seeded.join(_words_of(texts, met, BACK), PLACE)
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row a document: starts of its repeats, and the windows that are left to meet one another, packed."""
         for b in batches:
-            text, alone, heads, told = b["text"].tolist(), b["alone"].tolist(), b["heads"].tolist(), b["told"].tolist()
-            rows = []
+            text, told, settled, rows = b["text"].tolist(), b["told"].tolist(), b["settled"].tolist(), []
             for g in groups(text):
                 s = _Seeds(text[g])
-                pick = s.repeated(alone[g])
-                cuts = np.searchsorted(s.anchor_doc, np.arange(len(text[g]) + 1))
+                pick = s.open(settled[g])
                 spans = np.searchsorted(s.doc, np.arange(len(text[g]) + 1))
-                for i, first in enumerate(heads[g]):
-                    part = slice(cuts[i], cuts[i + 1])
-                    if first is not None:
-                        pick[part] &= ~np.isin(s.anchor_at[part], first)
                 left, window = np.repeat(pick, s.tail - s.head), s.windows()
                 for i, own in enumerate(s.words.split):
                     again, span = _repeats(own, told[g][i]), slice(spans[i], spans[i + 1])
                     at = np.flatnonzero(left[span])
                     at = at[~np.isin(s.offset[span][at], again)]
-                    rows.append(pickle.dumps((_sign(text[g][i]), again, _long(window[span][at]), s.offset[span][at])))
+                    rows.append(pickle.dumps((_sign(text[g][i]), again.astype(np.int32), _long(window[span][at]), s.offset[span][at].astype(np.int32))))
             yield pd.DataFrame({"late": b["late"], "id": b["id"], "packed": rows})
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,8 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # One more exchange of one column, so that what was extended is worked out once and serves three uses.
     extended = _whole(
-        told.where("heads is not null or told is not null")
-        .select("late", "id", "text", "alone", "heads", "told")
+        told.select("late", "id", "text", "settled", "told")
         .mapInPandas(extend, "late boolean, id long, packed binary")
     ).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
     windows = _whole(extended.mapInPandas(unpack, "key long, late boolean, id long, pos int"))
