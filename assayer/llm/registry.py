@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imi, kdtopk, langid, mixing, pii, simhash, sitetree, spiece, substr, toxicity
+from . import imi, importance, kdtopk, langid, mixing, negatives, packing, pii, simhash, sitetree, spiece, substr, toxicity
 from .common import table
 
 #: The SentencePiece model that op5 and the pipeline encode with.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: The tokenizer whose ids op13 packs.
+WORD_MODEL = "word_bpe_49k.json"
 
 
 def model_file(name: str = PIECE_MODEL) -> str:
@@ -60,6 +62,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substr.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), model_file(WORD_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,13 +87,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_mix_sources,
         op10_substring_dedup,
+        op11_hard_negatives,
+        op12_importance_resampling,
+        op13_packing,
     )
 }
 
-#: The other operators train models, hash with XXH64 or search token tables.
+#: The other operators train models, hash with XXH64 or CRC-32, or search token tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": imi.ORACLE_SQL,
     "op2_exact_top_k": kdtopk.ORACLE_SQL,
     "op9_mix_sources": mixing.ORACLE_SQL,
     "op10_substring_dedup": substr.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
 }
