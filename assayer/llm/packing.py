@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +24,10 @@ from .windows import groups
 
 CAPACITY = 2048
 END = 1  # the id after each document
-CACHED_WORDS = 1 << 17  # that a worker remembers
+CACHED_WORDS = 300_000  # different ones in each generation that a worker remembers
 LONGEST_CACHED = 64  # bytes of a word worth remembering
+#: Texts below U+0250 without white space, whose lower case and composition don't depend on what is around.
+LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+").fullmatch
 _CLASS = 44  # bits of a place among the pieces of a length
 
 
@@ -28,25 +35,65 @@ class Encoder:
     """Ids of whole texts, word by word.
 
     The vocabulary's rules never look across white space, so what stands
-    between two white spaces is encoded once and remembered.
+    between two white spaces is encoded once and remembered, in two
+    generations of CACHED_WORDS. Words of Latin letters and signs, whose
+    normal form is themselves in lower case, are split here, so that their
+    parts are merged once for all spellings; others go through the library as they are.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(model), {}
+        self.tokenizer, self.known, self.old, self.parts = Tokenizer.from_str(model), {}, {}, {}
+        self.merge = self.tokenizer.model.tokenize
+        # The printable sign that stands for each byte: itself, or the next one from 256 on.
+        kept = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+        others = [b for b in range(256) if b not in kept]
+        self.signs = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+        rules = json.loads(model)
+        split = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(split).findall
+        self.special = [t["content"] for t in rules["added_tokens"]]
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join(map(self.signs.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.merge(text)]).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remembers words."""
+        whole = []
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {}
+        parts = self.parts
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if not LATIN(t) or ("<" in t and any(x in t for x in self.special)):
+                whole.append((w, t))
+                continue
+            ids = b""
+            for x in self.split(t.lower()):
+                known = parts.get(x)
+                if known is None:
+                    known = self._part(x)
+                    if len(x) <= LONGEST_CACHED:
+                        parts[x] = known
+                ids += known
+            self.known[w] = ids
+        got = self.tokenizer.encode_batch_fast([t for _, t in whole], add_special_tokens=False)
+        for (w, _), e in zip(whole, got, strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.split() for t in texts]
         here = {w for words in split for w in words}
-        new = [w for w in here if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(here)
-        ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, ids, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) + len(here) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        missing = [w for w in here if w not in self.known]
+        new = [w for w in missing if w not in self.old]
+        self.known.update((w, self.old[w]) for w in missing if w in self.old)
+        self._learn(new)
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > LONGEST_CACHED:
@@ -54,6 +101,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(model: str) -> Encoder:
+    """A worker's encoder: what it has learnt serves all of its tasks."""
+    return Encoder(model)
+
+
 def tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Each document's tokens with its end id: n, and the checksums of its full sequences and of its tail, whose ids come along.
 
@@ -64,12 +117,12 @@ def tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     last, width = np.array([end], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, first = Encoder(model.value), 0
+        coder, first = encoder(model.value), 0
         for b in batches:
             texts = [t or b"" for t in b.column(1).to_pylist()]
             n, before, checks, tails, tail_crc = [], [], [], [], []
             for part in groups(texts):
-                for ids in encoder.encode(texts[part]):
+                for ids in coder.encode(texts[part]):
                     ids += last
                     full = len(ids) // width
                     n.append(len(ids) // 4)
