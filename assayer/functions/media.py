@@ -55,18 +55,22 @@ def even_frames(frames: Column) -> Column:
 
 
 def natural_key(name: Column | str) -> Column:
-    """A text by which names sort with their digit runs as numbers and letters without case.
+    """Bytes by which names sort with their digit runs as numbers and other text without case, in code point order.
 
-    Runs of digits become their length in three digits and then the digits
-    without leading zeros, so longer numbers come later.
+    Text and digit runs take turns, text first, if only an empty one. A text
+    ends with a zero byte, so that a shorter one comes before what goes on
+    with more; of a digit run, its length without leading zeros comes first, in six
+    digits, so longer numbers come later. Names mustn't hold zero bytes. Names
+    that differ in case or leading zeros only have the same key.
     """
-    runs = F.regexp_extract_all(F.lower(present(name)), F.lit(r"(\d+|\D+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.lower(present(name)), F.lit(r"([^0-9]*)([0-9]*)"), F.lit(0))
 
     def key(run: Column) -> Column:
-        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
-        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits)).otherwise(run)
+        number = F.regexp_extract(run, "0*([0-9]*)$", 1)  # empty for zero
+        ended = F.concat(F.regexp_extract(run, "^([^0-9]*)", 1), F.lit("\u0000"))
+        return F.when(run.rlike("[0-9]$"), F.concat(ended, F.lpad(F.length(number).cast("string"), 6, "0"), number)).otherwise(ended)
 
-    return F.array_join(F.transform(runs, key), "\u0001")
+    return F.array_join(F.transform(F.filter(runs, lambda r: r != ""), key), "").cast("binary")
 
 
 def natural_sort(names: Column) -> Column:
@@ -100,7 +104,8 @@ def media_candidates(path: Column | str, root: str) -> Column:
 
 
 def data_uri(image: Column | str, kind: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(col(image)))
+    """Bytes as a data URI, without the line breaks that base64 puts after each 76 characters."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(col(image)), "\r\n", ""))
 
 
 def frame_blocks(uris: Column, detail: str = "auto") -> Column:

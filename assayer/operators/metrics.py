@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import binary_label, strip
+from .order import medians
 
 
 def confusion(label: str = "label", answer: str = "answer") -> dict[str, Column]:
@@ -83,17 +84,22 @@ def score_summary(rows: DataFrame, model: str = "model", score: str = "score") -
     """Statistics of scores by model: count, errors (null scores), mean, median, population deviation, extremes.
 
     Without scores the statistics are null; the deviation of one score is 0.
+    Medians are exact and come from ranges of the distinct scores
+    (:func:`.order.medians`); all else is one aggregation. A null model is one of its own.
     """
     s = F.col(score).cast("double")
-    return rows.groupBy(F.col(model).alias("model")).agg(
-        F.count(s).alias("count"),
-        F.count_if(s.isNull()).alias("errors"),
-        F.avg(s).alias("mean"),
-        F.median(s).alias("median"),
-        F.stddev_pop(s).alias("stdev"),
-        F.min(s).alias("min"),
-        F.max(s).alias("max"),
+    scored = rows.select(F.col(model).alias("model"), s.alias("score"))
+    sums = scored.groupBy("model").agg(
+        F.count("score").alias("count"),
+        F.count_if(F.col("score").isNull()).alias("errors"),
+        F.avg("score").alias("mean"),
+        F.stddev_pop("score").alias("stdev"),
+        F.min("score").alias("min"),
+        F.max("score").alias("max"),
     )
+    middle = medians(scored, "model", "score").select(F.col("model").alias("__model"), "median")
+    out = sums.join(middle, F.col("model").eqNullSafe(F.col("__model")), "left")
+    return out.select("model", "count", "errors", "mean", "median", "stdev", "min", "max")
 
 
 def valid_count(rows: DataFrame, condition: Column) -> DataFrame:

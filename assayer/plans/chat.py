@@ -41,13 +41,29 @@ class Failure(RuntimeError):
         self.retry, self.after = retry, after
 
 
+def shown(content: str | list[dict[str, Any]]) -> str:
+    """A message's content as one text: its parts a line each, images by their URIs."""
+    if isinstance(content, str):
+        return content
+    return "\n".join(str(p["image_url"]["url"] if "image_url" in p else p.get("text", "")) for p in content)
+
+
 @dataclass
 class Stub:
-    """Answers by rule, the same each time: observations, verdicts or scores, whichever is asked for."""
+    """Answers by rule, the same each time: observations, verdicts or scores, whichever is asked for.
+
+    A reply follows from the first 32 bits of the SHA-256 of the last message
+    as text, so SQL can state it. With ``fails``, every call for which that
+    number is divisible by it ends in an error that no other try mends.
+    """
+
+    fails: int = 0
 
     def chat(self, messages: list[dict[str, Any]]) -> Reply:
-        asked = str(messages[-1]["content"])
+        asked = shown(messages[-1]["content"])
         n = int(hashlib.sha256(asked.encode()).hexdigest()[:8], 16)
+        if self.fails and n % self.fails == 0:
+            raise Failure(f"no reply to {n % 1000}", retry=False)
         if "<answer>" in asked:
             text = "".join(f"<{t}>sign {n % (71 + i)}</{t}>\n" for i, t in enumerate(ROLES) if f"<{t}>" in asked)
             text += f"<explanation>seen {n % 97} signs in all of the given reports</explanation>\n<answer>{'fake' if n % 2 else 'real'}</answer>"

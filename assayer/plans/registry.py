@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media, rewards, text
-from ..operators import align, assemble, checks, metrics, resume
+from ..operators import align, assemble, checks, metrics, order, resume
 from ..schemas import ROLES
+from ..scratch import new_path
 from ..shipping import ship
 from ..sources import records as sources
 from ..sources import sinks
@@ -657,7 +658,9 @@ def result_record(spark, sf_dir):
 @query("SELECT user_id, sum(event_id % 100)::BIGINT AS completion_tokens, count(*) AS calls FROM events GROUP BY user_id")
 def usage_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.sum(F.col("event_id") % 100).alias("completion_tokens"), F.count(F.lit(1)).alias("calls"))
+    call = F.struct(F.lit("a").alias("name"), (F.col("event_id") % 100).alias("completion_tokens"), F.lit(0.5).alias("elapsed_sec"))
+    spent = e.select("user_id", assemble.usage(F.array(call), F.lit(0.5)).alias("u"))
+    return spent.groupBy("user_id").agg(F.sum("u.completion_tokens").alias("completion_tokens"), F.sum(F.size("u.calls")).alias("calls"))
 
 
 # --- rewards --------------------------------------------------------------------
@@ -745,9 +748,9 @@ SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id % 1000, d
 def natural_sort(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("f")).otherwise(F.lit("F")), (F.col("doc_id") % 1000).cast("string"), F.lit(".png"))
-    rows = d.groupBy("source").agg(F.collect_list(name).alias("names"))
-    out = rows.select("source", F.posexplode(media.natural_sort(F.col("names"))).alias("k", "name"))
-    return out.select("source", "k", F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("frame"))
+    keyed = d.select("source", name.alias("name"), media.natural_key(name).alias("key"))
+    out = order.ranks(keyed, ["key", "name"], ("source",), "k")
+    return out.select("source", F.col("k").cast("int").alias("k"), F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("frame"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 > 0 AND n_chars > 0 THEN n_chars / (doc_id % 5)::DOUBLE ELSE 0.0::DOUBLE END AS seconds FROM documents")
@@ -902,22 +905,10 @@ def forwarded_args(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.forwarded(args).alias("a")).select("doc_id", F.size("a").alias("n"), F.get("a", F.lit(0)).alias("lead"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder, or in a temporary one where none is named."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{named or tempfile.mkdtemp(prefix='assayer-')}/{uuid.uuid4().hex}"
-
-
 @query(f"{WITH_R} SELECT pos, video_path, label, answer FROM r")
 def json_roundtrip(spark, sf_dir):
     """Records written as one JSONL file and read again, in order."""
-    path = f"{_scratch(spark)}/records.jsonl"
+    path = f"{new_path(spark)}/records.jsonl"
     sinks.write_records(records(spark, sf_dir).select("pos", "video_path", "label", "answer"), path)
     return sources.read_records(spark, path, "video_path string, label string, answer string")
 
@@ -925,7 +916,7 @@ def json_roundtrip(spark, sf_dir):
 @query(f"{WITH_R}, n AS (SELECT max(pos) AS last FROM r) SELECT pos, video_path FROM r, n WHERE pos < last")
 def jsonl_repair(spark, sf_dir):
     """A log whose last line is cut off, without that line."""
-    path = f"{_scratch(spark)}/log.jsonl"
+    path = f"{new_path(spark)}/log.jsonl"
     r = records(spark, sf_dir).select("pos", F.to_json(F.struct("video_path")).alias("value"))
     last = r.agg(F.max("pos").alias("last"))
     torn = F.when(F.col("pos") == F.col("last"), F.substring("value", 1, 9)).otherwise(F.col("value"))
@@ -937,7 +928,7 @@ def jsonl_repair(spark, sf_dir):
 @query(f"{WITH_R} SELECT pos, video_path, label, answer FROM r")
 def json_array_roundtrip(spark, sf_dir):
     """Records written as one JSON array and scanned again, in order."""
-    path = f"{_scratch(spark)}/records.json"
+    path = f"{new_path(spark)}/records.json"
     sinks.write_records(records(spark, sf_dir).select("pos", "video_path", "label", "answer"), path)
     return sources.read_records(spark, path, "video_path string, label string, answer string")
 
@@ -982,10 +973,21 @@ def progress_marks(spark, sf_dir):
     return metrics.milestones(records(spark, sf_dir).select("pos"), 100)
 
 
-# --- rows only ------------------------------------------------------------------
+# --- calls ----------------------------------------------------------------------
+
+
+def q_digest(x: str) -> str:
+    """The number that the stub's replies follow from."""
+    return f"('0x' || substr(sha256({x}), 1, 8))::BIGINT"
 
 
-@query()
+GRADED = "concat('Compare the candidate rationale with the reference.', chr(10), chr(10), 'Reference rationale:', chr(10), dataset, chr(10), chr(10), 'Candidate rationale:', chr(10), text)"
+
+
+@query(
+    f"{WITH_R}, n AS (SELECT pos, {q_digest(GRADED)} AS n FROM r) "
+    "SELECT pos, (n % 10 + 1)::INTEGER AS score, 'grounded in ' || n % 83 || ' points' AS analysis, 7::BIGINT AS completion_tokens, NULL::VARCHAR AS error FROM n"
+)
 def chat_map_stub(spark, sf_dir):
     """Every record graded by the deterministic stub backend."""
     r = records(spark, sf_dir).select("pos", assemble.quality_messages("noanswer", F.col("dataset"), F.col("text"))[1]["content"].alias("asked"))
@@ -998,10 +1000,67 @@ def chat_map_stub(spark, sf_dir):
     return out.select("pos", text.parse_score("response").alias("s"), "completion_tokens", "error").select("pos", "s.score", "s.analysis", "completion_tokens", "error")
 
 
-@query()
-def mode_flagship_stub(spark, sf_dir):
-    """Four observers and a judge a record, by the stub backend."""
+def _modes(spark: SparkSession, sf_dir: str, mode: str, fails: int = 0) -> DataFrame:
+    """A mode over all records by the stub, with each record's text as its one frame."""
     uris = F.array(media.data_uri(F.col("text").cast("binary"), "text/plain"))
     r = records(spark, sf_dir).select("pos", "video_path", "label", uris.alias("frames"))
-    out = modes.infer(r, chat.Stub(), "flagship", "pos bigint, video_path string, label string")
-    return out.select("pos", "video_path", "answer", "explanation", F.size("calls").alias("n_calls"), F.try_element_at("observations", F.lit("motion")).alias("motion"), "error")
+    out = modes.infer(r, chat.Stub(fails), mode, "pos bigint, video_path string, label string")
+    seen = [F.try_element_at("observations", F.lit(role)).alias(role) for role in ROLES]
+    return out.select("pos", "video_path", "answer", "explanation", F.size("calls").alias("n_calls"), *seen, "error")
+
+
+def q_framed(prompt: str) -> str:
+    return f"concat('[frame 1/1]', chr(10), 'data:text/plain;base64,', to_base64(encode(text)), chr(10), {q_lit(prompt)})"
+
+
+def q_failure(n: str) -> str:
+    return f"'Failure: no reply to ' || {n} % 1000"
+
+
+Q_VERDICT = "CASE WHEN j % 2 = 1 THEN 'fake' ELSE 'real' END AS answer, 'seen ' || j % 97 || ' signs in all of the given reports' AS explanation"
+
+
+def q_flagship(fails: int) -> str:
+    """Four observers and a judge: what each says, and where a record fails, if ``fails`` isn't 0."""
+    observers = ", ".join(f"{q_digest(q_framed(assemble.QUERY[r]))} AS n_{r}" for r in ROLES)
+    signs = ", ".join(f"'sign ' || n_{r} % 89 AS {r}" for r in ROLES)
+    reports = "concat(" + ", ".join(f"{q_lit(h)}, chr(10), {r}, chr(10), chr(10)" for r, h in assemble.REPORT_HEADS.items()) + f", {q_lit(assemble.JUDGE_CLOSING)})"
+    early = "CASE " + " ".join(f"WHEN n_{r} % {fails} = 0 THEN {q_failure(f'n_{r}')}" for r in ROLES) + " END" if fails else "NULL::VARCHAR"
+    late = f"CASE WHEN early IS NULL AND j % {fails} = 0 THEN {q_failure('j')} END" if fails else "NULL::VARCHAR"
+    return f"""{WITH_R}, o AS (SELECT pos, video_path, {observers} FROM r), s AS (SELECT *, {signs}, {early} AS early FROM o),
+j AS (SELECT *, {q_digest(reports)} AS j FROM s), v AS (SELECT *, {late} AS late, {Q_VERDICT} FROM j)
+SELECT pos, video_path, CASE WHEN early IS NULL AND late IS NULL THEN answer ELSE 'Error' END AS answer, CASE WHEN early IS NULL AND late IS NULL THEN explanation ELSE '' END AS explanation,
+(CASE WHEN early IS NOT NULL THEN 0 WHEN late IS NOT NULL THEN 4 ELSE 5 END)::INTEGER AS n_calls, {', '.join(f'CASE WHEN early IS NULL THEN {r} END AS {r}' for r in ROLES)}, coalesce(early, late) AS error FROM v"""
+
+
+@query(q_flagship(0))
+def mode_flagship_stub(spark, sf_dir):
+    """Four observers and a judge a record, by the stub backend."""
+    return _modes(spark, sf_dir, "flagship")
+
+
+@query(q_flagship(9))
+def mode_flagship_failing(spark, sf_dir):
+    """The same with a backend that refuses every ninth call or so: failed rows keep what they had got by then."""
+    return _modes(spark, sf_dir, "flagship", fails=9)
+
+
+def q_one_call(mode: str, failed: str, seen: list[str]) -> str:
+    """A mode of one call: its verdict, and the observations in its response."""
+    return (
+        f"{WITH_R}, n AS (SELECT pos, video_path, {q_digest(q_framed(assemble.QUERY[mode]))} AS j FROM r), v AS (SELECT *, {Q_VERDICT}, {failed} AS error FROM n) "
+        "SELECT pos, video_path, CASE WHEN error IS NULL THEN answer ELSE 'Error' END AS answer, CASE WHEN error IS NULL THEN explanation ELSE '' END AS explanation, "
+        f"CASE WHEN error IS NULL THEN 1 ELSE 0 END AS n_calls, {', '.join(f'{x} AS {r}' for r, x in zip(ROLES, seen, strict=True))}, error FROM v"
+    )
+
+
+@query(q_one_call("cot", "NULL::VARCHAR", [f"'sign ' || j % {71 + i}" for i in range(len(ROLES))]))
+def mode_cot_stub(spark, sf_dir):
+    """One response a record that holds all four observations and the verdict."""
+    return _modes(spark, sf_dir, "cot")
+
+
+@query(q_one_call("single", f"CASE WHEN j % 4 = 0 THEN {q_failure('j')} END", ["NULL::VARCHAR"] * len(ROLES)))
+def mode_single_failing(spark, sf_dir):
+    """A verdict a record, from a backend that refuses every fourth call or so."""
+    return _modes(spark, sf_dir, "single", fails=4)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.media import FRAME_SUFFIXES, is_frame, is_video, media_candidates, natural_sort, single_problem, uniform_indices
+from ..functions.media import FRAME_SUFFIXES, is_frame, is_video, media_candidates, natural_key, single_problem, uniform_indices
 from ..functions.text import filled
+from ..operators.order import ranks
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -53,14 +54,18 @@ def locate(rows: DataFrame, media: DataFrame, root: str, key: str = "video_path"
 
 
 def sampled_frames(located: DataFrame, media: DataFrame, wanted: int) -> DataFrame:
-    """Rows with ``frame_paths``, spread evenly over a folder's frames in natural order, or ``video_file``."""
-    images = media.where("kind = 'image'").select(F.regexp_extract("path", r"^(.*)/([^/]*)$", 1).alias("media_path"), F.regexp_extract("path", r"^(.*)/([^/]*)$", 2).alias("name"))
-    frames = images.groupBy("media_path").agg(natural_sort(F.collect_list("name")).alias("names"))
-    picked = frames.select(
-        "media_path",
-        F.transform(uniform_indices(F.size("names"), wanted), lambda i: F.concat(F.col("media_path"), F.lit("/"), F.get("names", i))).alias("spread"),
-    )
-    out = located.join(picked, "media_path", "left")
+    """Rows with ``frame_paths``, spread evenly over a folder's frames in natural order, or ``video_file``.
+
+    Frames get their place in their folder by ranges of the order, so a folder
+    of very many is no one task's; only the wanted ones meet in a row.
+    """
+    folder, name = (F.regexp_extract("path", r"^(.*)/([^/]*)$", i) for i in (1, 2))
+    images = media.where("kind = 'image'").select(folder.alias("media_path"), name.alias("name"), natural_key(name).alias("key"))
+    placed = ranks(images, ["key", "name"], ("media_path",), "at")
+    indices = images.groupBy("media_path").agg(F.count(F.lit(1)).alias("n")).select("media_path", F.posexplode(uniform_indices("n", wanted)).alias("k", "at"))
+    picked = placed.join(indices, ["media_path", "at"]).select("media_path", "k", F.concat(F.col("media_path"), F.lit("/"), F.col("name")).alias("frame"))
+    spread = F.transform(F.array_sort(F.collect_list(F.struct("k", "frame"))), lambda x: x["frame"])
+    out = located.join(picked.groupBy("media_path").agg(spread.alias("spread")), "media_path", "left")
     return out.select(
         *located.columns,
         F.when(F.col("media_kind") == "frames", F.col("spread")).when(F.col("media_kind") == "image", F.array("media_path")).alias("frame_paths"),

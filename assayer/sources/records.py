@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..operators.checks import demand, demand_unique
+from ..shipping import ship
 
 
 def _schema(schema: str | T.StructType) -> T.StructType:
@@ -85,25 +89,133 @@ def _parsed(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
     return parsed.select("pos", "value", F.when(good, F.struct(*[F.col(f"__row.`{f.name}`").alias(f.name) for f in kind.fields])).alias("row"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Records of a JSONL file with pos. Blank lines don't count; one that is no record ends the job and is named by its number."""
-    rows = _parsed(_lines(spark, path), schema)
+def _records(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """Parsed lines; one that is no record ends the job."""
+    rows = _parsed(lines, schema)
     rows = demand(rows, F.col("row").isNotNull(), F.concat(F.lit("no JSON object in record "), (F.col("pos") + 1).cast("string")))
     return rows.select("pos", "row.*")
 
 
-def read_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Records of a file that is one JSON array, with pos.
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Records of a JSONL file with pos. Blank lines don't count; one that is no record ends the job and is named by its number."""
+    return _records(_lines(spark, path), schema)
+
+
+def _state(text: str, inside: bool) -> tuple[bool, int]:
+    """(inside, depth): whether a piece of JSON ends within a string, and how many brackets more it opens than it closes."""
+    text = _ESCAPED.sub("", text)
+    if inside:
+        _, quote, text = text.partition('"')
+        if not quote:
+            return True, 0
+    text, quote, _ = _STRING.sub("", text).partition('"')
+    return bool(quote), text.count("{") + text.count("[") - text.count("]") - text.count("}")
+
+
+_ESCAPED = re.compile(r"\\.", re.S)
+_STRING = re.compile(r'"[^"]*"')
+# What stands before an element and after the last one; commas may be missing or repeated.
+_FIRST = re.compile(r"\ufeff?\s*\[[\s,]*(?=\{)")
+_NEXT = re.compile(r"[\s,]*(?=\{)")
+_END = re.compile(r"[\s,]*\]\s*")
+_EMPTY = re.compile(r"\ufeff?\s*\[[\s,]*\]\s*")
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(value, block): the file cut at closing braces, as Spark's text source splits it, and where each piece's split begins."""
+    ship(spark)
+    return spark.read.text(path, lineSep="}").select("value", F.col("_metadata.file_block_start").alias("block"))
+
+
+def _surveyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each block, and for a start outside and within a string: how it ends, and how often each depth, counted from its start, is met at a closing brace."""
+    seen: dict[int, list[tuple[bool, int, Counter]]] = {}
+    for b in batches:
+        for value, block in zip(b["value"], b["block"], strict=True):
+            both = seen.setdefault(block, [(False, 0, Counter()), (True, 0, Counter())])
+            for i, (inside, depth, ends) in enumerate(both):
+                inside, more = _state(value, inside)
+                depth += more - (not inside)
+                if not inside:
+                    ends[depth] += 1
+                both[i] = (inside, depth, ends)
+    rows = [(block, start, inside, depth, dict(ends)) for block, both in seen.items() for start, (inside, depth, ends) in enumerate(both)]
+    yield pd.DataFrame(rows, columns=["block", "start", "inside", "depth", "ends"])
+
+
+def _starts(spark: SparkSession, path: str) -> dict[int, tuple[bool, int, int]]:
+    """For each block whether it begins within a string, at what depth, and how many elements end before it. An array that isn't closed is an error."""
+    rows = _blocks(spark, path).mapInPandas(_surveyed, "block long, start int, inside boolean, depth long, ends map<long, long>")
+    found = {(r["block"], r["start"]): r for r in rows.collect()}  # two rows a block
+    out, inside, depth, n = {}, False, 0, 0
+    for block in sorted({b for b, _ in found}):
+        out[block] = (inside, depth, n)
+        r = found[block, int(inside)]
+        n += r["ends"].get(1 - depth, 0)
+        inside, depth = r["inside"], depth + r["depth"]
+    # What follows the last closing brace was counted as if one followed it, too.
+    if inside or depth != -1:
+        raise ValueError(f"no closed JSON array: {path}")
+    return out
+
 
-    One task reads the array as a stream, an object at a time, so memory
-    follows a record, not the file; large inputs are JSONL. A cut or broken
-    array, one with other things than objects, and a file that doesn't end
-    with a closing bracket end the job; a second array after the first isn't
-    looked at.
+def _cut_elements(starts: dict[int, tuple[bool, int, int]], path: str):
+    """Elements of an array, or the parts of those that a block begins or ends in: pos, block, whole, value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: int | None = None
+        held: list[str] = []
+        whole, inside, depth, n = True, False, 0, 0
+        for b in batches:
+            out = []
+            for value, block in zip(b["value"], b["block"], strict=True):
+                if block != now:
+                    if held:
+                        out.append((n, now, False, "".join(held)))
+                    inside, depth, n = starts[block]
+                    # Whatever lies at this depth, the block begins between elements or within one.
+                    now, held, whole = block, [], not inside and depth <= 1
+                if depth <= 1 and not inside:
+                    # Depth 0 is that of the file's beginning, -1 what the closing bracket leaves.
+                    gap = _FIRST.match(value) if depth == 0 else _NEXT.match(value) if depth == 1 else None
+                    if gap is None:
+                        if depth < 0 or not (_END if depth else _EMPTY).fullmatch(value):
+                            raise ValueError(f"only objects can be elements of the JSON array, and nothing can follow it: {path}, after record {n}")
+                        depth = -1
+                        continue
+                    depth, value = 1, value[gap.end() :]
+                inside, more = _state(value, inside)
+                depth += more - (not inside)
+                held.append(value + "}")
+                if depth <= 1 and not inside:
+                    out.append((n, block, whole, "".join(held)))
+                    held, whole, n = [], True, n + 1
+            yield pd.DataFrame(out, columns=["pos", "block", "whole", "value"])
+        if held:
+            yield pd.DataFrame([(n, now, False, "".join(held))], columns=["pos", "block", "whole", "value"])
+
+    return run
+
+
+def read_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Records of a file that is one JSON array, with pos; read by as many tasks as the file has splits.
+
+    Spark cuts the file at closing braces, so a piece is never longer than a
+    record. A first pass tells for each split how strings and brackets stand
+    at its end, for either way in which it may begin; from these, a row or two a split,
+    follow each split's beginning and the number of elements before it. Then
+    each split is cut into elements. Only the parts of elements that reach
+    over a split's border, two a split at most, meet by position.
+
+    Commas may be missing or repeated between elements. A cut or broken array,
+    elements that are no objects, and anything after the closing bracket end the job; an array
+    that isn't closed is noticed at once.
     """
     if _tail(spark, path) != "]":
         raise ValueError(f"no closed JSON array: {path}")
-    return numbered(spark.read.schema(_schema(schema)).option("multiLine", "true").option("mode", "FAILFAST").json(path)).select("pos", *[f"`{f.name}`" for f in _schema(schema)])
+    cut = _blocks(spark, path).mapInPandas(_cut_elements(_starts(spark, path), path), "pos long, block long, whole boolean, value string")
+    pieces = cut.where("not whole").groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "value"))), lambda x: x["value"]), "").alias("value"))
+    return _records(cut.where("whole").select("pos", "value").unionByName(pieces), schema)
 
 
 def _tail(spark: SparkSession, path: str) -> str:

@@ -31,41 +31,68 @@ def insist(action: Callable[[], Any], attempts: int = 10, sleep: Callable[[float
             sleep(0.2 + random.random() * 0.2)
 
 
-def _replace(spark: SparkSession, folder: str, path: str) -> None:
-    """The one part file of a folder becomes ``path``; the folder goes."""
+def _parts(spark: SparkSession, folder: str) -> list:
+    """The filled part files of a written folder, in their order."""
+    fs, source, _ = _fs(spark, folder)
+    parts = [s for s in fs.listStatus(source) if s.getPath().getName().startswith("part-") and s.getLen()]
+    return sorted(parts, key=lambda s: s.getPath().getName())
+
+
+def _joined(spark: SparkSession, folder: str, path: str, before: bytes = b"", after: bytes = b"", less: int = 0) -> None:
+    """A folder's part files one after the other as one file ``path``, which appears at once; the folder goes.
+
+    Bytes are copied as a stream, so memory doesn't follow their number.
+    ``before`` and ``after`` stand around them; of the last part, ``less``
+    bytes are left out at the end.
+    """
     fs, target, jvm = _fs(spark, path)
-    source = jvm.org.apache.hadoop.fs.Path(folder)
-    parts = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+    parts = _parts(spark, folder)
     if target.getParent() is not None:
         fs.mkdirs(target.getParent())
+    copy = jvm.org.apache.commons.io.IOUtils.copyLarge
+    whole = jvm.org.apache.hadoop.fs.Path(f"{folder}/joined")
+    out = fs.create(whole)
+    try:
+        out.write(bytearray(before))
+        for i, part in enumerate(parts):
+            stream = fs.open(part.getPath())
+            try:
+                copy(stream, out, 0, part.getLen() - (less if i == len(parts) - 1 else 0))
+            finally:
+                stream.close()
+        out.write(bytearray(after))
+    finally:
+        out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
     rename = jvm.org.apache.hadoop.fs.Options.Rename
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
-    insist(lambda: context.rename(fs.makeQualified(parts[0]), fs.makeQualified(target), options))
-    fs.delete(source, True)
+    insist(lambda: context.rename(fs.makeQualified(whole), fs.makeQualified(target), options))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def write_records(rows: DataFrame, path: str, order: str | None = "pos") -> None:
     """Rows in order as one file that replaces ``path`` at once: JSONL by that suffix, else a JSON array.
 
-    Nulls are written. One file needs one writing task; for large results use
-    :func:`write_folder`.
+    Nulls are written. Ranges of the order are written in parallel, each record with
+    the separator that follows it, and their bytes then copied into one file;
+    without an order, rows stay as they come. :func:`write_folder` leaves the parts as they are.
     """
     spark = rows.sparkSession
     names = [c for c in rows.columns if c != order]
     text = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
-    lines = rows.select(*([order] if order else []), text.alias("value"))
+    array = not path.endswith(".jsonl")
+    lines = rows.select(*([F.col(order).alias("__order")] if order else []), (F.concat(text, F.lit(",")) if array else text).alias("value"))
     if order:
-        lines = lines.orderBy(order)
-    lines = lines.select("value")
-    if not path.endswith(".jsonl"):
-        every = F.concat(F.lit("[\n"), F.concat_ws(",\n", F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])), F.lit("\n]"))
-        at = F.col(order) if order else F.monotonically_increasing_id()
-        lines = rows.select(at.alias("at"), text.alias("value")).agg(every.alias("value"))
+        lines = lines.repartitionByRange("__order").sortWithinPartitions("__order").select("value")
     folder = f"{path}.{uuid.uuid4().hex}"
-    lines.coalesce(1).write.text(folder)
-    _replace(spark, folder, path)
+    lines.write.text(folder)
+    if not array:
+        _joined(spark, folder, path)
+    elif _parts(spark, folder):
+        _joined(spark, folder, path, b"[\n", b"\n]\n", less=2)  # the last record's comma and line end
+    else:
+        _joined(spark, folder, path, b"[]\n")
 
 
 def write_folder(rows: DataFrame, path: str, order: str = "pos") -> None:
