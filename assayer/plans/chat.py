@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from ..schemas import ROLES
+from .slots import Pace, Slots, serve  # noqa: F401
 
 #: Replies of a busy or broken server.
 RETRIED = frozenset({408, 409, 429, 500, 502, 503, 504})
@@ -177,40 +178,21 @@ class Paced:
         return self.backend.chat(messages)
 
 
-class Pace:
-    """Spaces a partition's requests so that all partitions together keep to a rate a minute."""
-
-    def __init__(self, rpm: float, partitions: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        import threading
-
-        self.gap = 60.0 * partitions / rpm if rpm > 0 else 0.0
-        self.next, self.clock, self.sleep, self.lock = 0.0, clock, sleep, threading.Lock()
-
-    def wait(self) -> None:
-        if self.gap:
-            with self.lock:
-                now = self.clock()
-                at = max(now, self.next)
-                self.next = at + self.gap
-            if at > now:
-                self.sleep(at - now)
-
-
-def map_rows(rows: DataFrame, schema: str, process: Callable[[dict[str, Any], Backend], dict[str, Any]], backend: Backend, concurrency: int = 8, rpm: float = 0.0, fail_fast: bool = False) -> DataFrame:
+def map_rows(rows: DataFrame, schema: str, process: Callable[[dict[str, Any], Backend], dict[str, Any]], backend: Backend, concurrency: int = 8, rpm: float | Slots = 0.0, fail_fast: bool = False) -> DataFrame:
     """``process(row, backend)`` for every row, ``concurrency`` at a time within a partition.
 
     The output has the input's columns that the schema names, and what process
     returns. A row whose call fails gets an ``error`` and what it had got by
     then (:class:`Partial`), and the job goes on; with fail_fast it ends.
-    ``rpm`` counts requests, of which a row may make several, and retries. The
-    result comes from an external service: write it before reading it twice.
+    ``rpm`` counts requests, of which a row may make several, and retries, of
+    all tasks together (:mod:`.slots`); slots may be given in its place, to share
+    a rate with other plans. The result comes from an external service: write it before reading it twice.
     """
     names = StructType.fromDDL(schema).fieldNames()
-    partitions = max(1, rows.rdd.getNumPartitions()) if rpm else 1
+    slots = serve(rows.sparkSession, rpm) if isinstance(rpm, (int, float)) and rpm > 0 else rpm or None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace(rpm, partitions)
-        paced = backend if not rpm else backend.paced(pace.wait) if hasattr(backend, "paced") else Paced(backend, pace.wait)
+        paced = backend if slots is None else backend.paced(slots.wait) if hasattr(backend, "paced") else Paced(backend, slots.wait)
 
         def one(row: dict[str, Any]) -> dict[str, Any]:
             try:

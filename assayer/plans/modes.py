@@ -14,6 +14,7 @@ from ..functions.text import ANSWER_TAG, VERDICT
 from ..operators.assemble import JUDGE_CLOSING, QUERY, REPORT_HEADS, SYSTEM
 from ..schemas import ROLES
 from .chat import Backend, Partial, Reply, map_rows
+from .slots import serve
 
 MODES = ("single", "cot", "multiturn", "observer", "judge", "flagship")
 CALLS = "array<struct<name: string, completion_tokens: bigint, elapsed_sec: double>>"
@@ -193,8 +194,11 @@ def infer(rows: DataFrame, backend: Backend, mode: str, keep: str, role: str = "
 def infer_spread(rows: DataFrame, backend: Backend, key: str, keep: str, judge_video: bool = False, **options: Any) -> DataFrame:
     """The flagship mode with its four observers as four rows, so that they run wherever there is room.
 
-    Rows are spread by role, observed, gathered by key and judged.
+    Rows are spread by role, observed, gathered by key and judged. A rate
+    holds for observers and judges together.
     """
+    if isinstance(options.get("rpm"), (int, float)) and options["rpm"] > 0:
+        options["rpm"] = serve(rows.sparkSession, options["rpm"])
     fan = rows.withColumn("role", F.explode(F.array(*[F.lit(r) for r in ROLES])))
     seen = map_rows(fan, f"{keep}, role string, {OUTPUT}", lambda row, b: process(row, b, "observer", row["role"]), backend, **options)
     names = [c for c in rows.columns if c != key]

@@ -17,8 +17,10 @@ from ..operators import align, assemble, checks, metrics, order, resume
 from ..schemas import ROLES
 from ..scratch import new_path
 from ..shipping import ship
+from ..sources import media as media_files
 from ..sources import records as sources
 from ..sources import sinks
+from ..streaming import commits, resumable, shards
 from . import chat, modes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -973,6 +975,79 @@ def progress_marks(spark, sf_dir):
     return metrics.milestones(records(spark, sf_dir).select("pos"), 100)
 
 
+@query(f"{WITH_R} SELECT pos, video_path, answer FROM r")
+def shard_completion(spark, sf_dir):
+    """Three shards that finish out of turn; the last one merges them."""
+    r = records(spark, sf_dir).select("pos", "video_path", "answer")
+    output = f"{new_path(spark)}/results.json"
+    for i in (2, 0, 1):
+        merged = shards.finish(resume.shard(r, 3, i), output, 3, i, r, "video_path", "video_path string, answer string")
+    return merged
+
+
+@query(
+    f"""WITH l AS (SELECT event_id, event_type, user_id, {SCORE} AS score, max(event_id) OVER () AS last FROM events),
+w AS (SELECT event_type, user_id, (row_number() OVER (ORDER BY event_type, user_id) - 1)::BIGINT AS pos FROM (SELECT DISTINCT event_type, user_id FROM events))
+SELECT w.pos, w.event_type, w.user_id, b.score FROM w JOIN (SELECT event_type, user_id, arg_max(struct_pack(s := score), event_id).s AS score FROM l WHERE event_id < last GROUP BY ALL) b
+ON w.event_type = b.event_type AND w.user_id = b.user_id"""
+)
+def score_log(spark, sf_dir):
+    """A log of scores with repeated keys and a torn end, compacted into the wanted order and read again."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.expr(SCORE).alias("score"))
+    path = f"{new_path(spark)}/scores.jsonl"
+    last = e.agg(F.max("event_id").alias("last"))
+    line = F.to_json(F.struct("event_type", "user_id", "score"), {"ignoreNullFields": "false"})
+    torn = F.when(F.col("event_id") == F.col("last"), F.substring(line, 1, 20)).otherwise(line)
+    e.join(F.broadcast(last)).select("event_id", torn.alias("value")).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    keys = ["event_type", "user_id"]
+    scores = sources.repair_truncated(spark, path, "event_type string, user_id bigint, score double")
+    wanted = order.ranks(e.select(*keys).distinct(), keys, name="pos")
+    log = commits.CommitLog(spark, new_path(spark))
+    log.append(resume.last_wins(scores, keys, "pos").drop("pos"))
+    log.compact("event_type string, user_id bigint, score double", keys, wanted)
+    return log.read("event_type string, user_id bigint, score double").drop("log_seq").join(wanted, keys)
+
+
+GRADES = "video_path string, answer string"
+
+
+@query(f"{WITH_R} SELECT pos, video_path, CASE WHEN pos % 3 = 1 THEN 'fake' ELSE 'real' END AS answer FROM r")
+def resumable_map(spark, sf_dir):
+    """A map in batches whose first run fails for every third record, and a second run that finds those pending."""
+    r = records(spark, sf_dir).select("pos", "video_path")
+    log, done = new_path(spark), resume.complete("single")
+    size = max(1, r.count() // 4)
+    first = lambda b: b.select("video_path", F.when(F.col("pos") % 3 == 1, F.lit("Error")).otherwise(F.lit("real")).alias("answer"))
+    resumable.run(r, first, log, GRADES, "video_path", done, size)
+    return resumable.run(r, lambda b: b.select("video_path", F.lit("fake").alias("answer")), log, GRADES, "video_path", done, size)
+
+
+CLIP = "concat('videos/', cast(s_nationkey as string), '/', cast(s_suppkey as string), '.mp4')"
+
+
+@query(
+    f"""WITH s AS (SELECT s_suppkey, {CLIP} AS p, s_suppkey % 5 AS kind FROM supplier)
+SELECT s_suppkey, CASE kind WHEN 0 THEN 'frames/' || substr(p, 8) WHEN 1 THEN p WHEN 2 THEN p WHEN 3 THEN 'frames/' || p END AS media,
+CASE WHEN kind IN (0, 3) THEN 'frames' WHEN kind IN (1, 2) THEN 'video' END AS kind FROM s"""
+)
+def media_located(spark, sf_dir):
+    """Each clip's frames or file: the best of its candidates that exists below a folder that the query fills."""
+    root = new_path(spark)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(CLIP).alias("video_path"), (F.col("s_suppkey") % 5).alias("kind"))
+    inside = F.concat(F.lit("frames/"), F.substring("video_path", 8, 1 << 30))
+    frames = lambda folder: F.transform(F.array(F.lit("f1.png"), F.lit("f2.PNG"), F.lit("notes.txt")), lambda n: F.concat(folder, F.lit("/"), n))
+    paths = (
+        F.when(F.col("kind") == 0, F.concat(frames(inside), F.array("video_path")))
+        .when(F.col("kind") == 1, F.array("video_path"))
+        .when(F.col("kind") == 2, F.array(F.concat(inside, F.lit("/notes.txt")), F.col("video_path")))
+        .when(F.col("kind") == 3, frames(F.concat(F.lit("frames/"), F.col("video_path"))))
+        .otherwise(F.array())
+    )
+    media_files.touch(s.select(F.explode(paths).alias("path")), root)
+    found = media_files.locate_below(s.select("s_suppkey", "video_path"), root)
+    return found.select("s_suppkey", F.substring("media_path", len(root) + 2, 1 << 30).alias("media"), F.col("media_kind").alias("kind"))
+
+
 # --- calls ----------------------------------------------------------------------
 
 

@@ -28,8 +28,11 @@ def new_path(spark: SparkSession, name: str = "") -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table there: its work is done once, its rows don't change, and its size is known to Catalyst."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a Parquet table there: its work is done once, its rows don't change, and its size is known to Catalyst.
+
+    With ``by``, in a folder for each value of these columns.
+    """
     at = new_path(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    df.write.partitionBy(*by).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at).select(*[f"`{c}`" for c in df.columns])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.media import FRAME_SUFFIXES, is_frame, is_video, media_candidates, natural_key, single_problem, uniform_indices
 from ..functions.text import filled
 from ..operators.order import ranks
+from ..scratch import written
+from ..shipping import ship
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -24,6 +30,72 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return single.unionByName(folders)
 
 
+def _arrow_path(path: str):
+    """The file system and path that Arrow knows a file by; None where it knows no such file system."""
+    from pyarrow import ArrowInvalid, fs
+
+    if re.match("(file:)?/", path):
+        return fs.LocalFileSystem(), re.sub("^(file:)?/+", "/", path)
+    store, rest = re.fullmatch("([^:/]+://[^/]*)?(.*)", path, re.S).groups()
+    try:
+        files, base = fs.FileSystem.from_uri(f"{store or 'file://'}/")
+    except ArrowInvalid:
+        return None
+    return files, base.rstrip("/") + rest
+
+
+def entries(folders: DataFrame) -> DataFrame:
+    """(path, folder): what lies directly in the folders of the column ``path``, and whether it is a folder; folders that aren't there hold nothing.
+
+    Each folder is listed once, by whichever task it falls to, through Arrow's file systems.
+    """
+    ship(folders.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for b in batches:
+            for path in b["path"]:
+                files, at = _arrow_path(path)
+                found = files.get_file_info(fs.FileSelector(at, allow_not_found=True)) if files.get_file_info(at).type == fs.FileType.Directory else []
+                yield pd.DataFrame({"path": [f"{path}/{f.base_name}" for f in found], "folder": [f.type == fs.FileType.Directory for f in found]}).astype({"path": str, "folder": bool})
+
+    return folders.select("path").distinct().repartition("path").mapInPandas(run, "path string, folder boolean")
+
+
+def touch(files: DataFrame, root: str) -> None:
+    """Makes the files of the column ``path`` below a folder, empty ones, each by the task that it falls to."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _arrow_path(root)
+        for b in batches:
+            for path in b["path"]:
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                store.open_output_stream(f"{base}/{path}").close()
+            yield b.iloc[:0]
+
+    files.select("path").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def locate_below(rows: DataFrame, root: str, key: str = "video_path") -> DataFrame:
+    """Like :func:`locate`, but lists only the folders that candidates lie in, and then those candidates that are folders.
+
+    So the work follows the rows, not what else ``root`` holds. File systems that only Spark
+    reads are listed as a whole, as :func:`listing` does.
+    """
+    base = root.rstrip("/")
+    if _arrow_path(base) is None:
+        return locate(rows, listing(rows.sparkSession, base), base, key)
+    candidates = rows.select(F.explode(media_candidates(key, base)).alias("path")).distinct()
+    beside = entries(candidates.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")))
+    found = written(beside.join(candidates, "path", "left_semi"), "candidates")
+    inside = entries(found.where("folder")).where(~F.col("folder") & is_frame("path"))
+    folders = inside.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), F.lit("frames").alias("kind")).distinct()
+    single = found.where("not folder").select("path", F.when(is_frame("path"), F.lit("image")).when(is_video("path"), F.lit("video")).alias("kind"))
+    return locate(rows, single.where("kind is not null").unionByName(folders), base, key)
+
+
 def single(spark: SparkSession, path: str) -> tuple[str, str]:
     """(path, kind) of the one medium of a run: a video or image file, or a folder that holds frames; all else is an error."""
     jvm = spark._jvm

@@ -4,43 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.align import in_order
 from ..operators.resume import last_wins, pending
+from ..scratch import written
 from ..sources import sinks
-
-
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log folder's records, none if there is no such folder yet."""
-    try:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+from .commits import CommitLog, results
 
 
 def run(inputs: DataFrame, process: Callable[[DataFrame], DataFrame], log: str, schema: str, key: str, done: Column, batch_rows: int = 100_000) -> DataFrame:
-    """Process what the log lacks, in batches by position, each appended to the log as it ends; all results in input order.
+    """Process what the log lacks, in batches by position, each committed to the log as it ends; all results in input order.
 
     ``inputs`` has pos and the key, ``process`` maps a batch to rows of the
-    schema. A row whose result isn't done is pending again. Results carry the
-    batch's sequence number, so the last one of a key wins.
+    schema. A row whose result isn't done is pending again; the last result of
+    a key wins. What is pending at the start is written to the shared folder,
+    a part a batch, so it outlives executors. A batch counts once its commit
+    is there (:class:`.commits.CommitLog`): wherever a run ends, the next one
+    goes on after the last commit, and no row is missing or there twice.
     """
     spark = inputs.sparkSession
-    full = f"{schema}, log_seq bigint"
-    before = read_log(spark, log, full)
-    seq = before.agg(F.coalesce(F.max("log_seq"), F.lit(-1)).alias("s")).first()["s"]
-    # What is pending at the start, kept: batches don't overlap, so none needs the log that the others have grown. Should a
-    # part be lost and worked out again, it can only lack rows that are done by then.
-    wanted = pending(inputs, last_wins(before, [key], "log_seq"), key, done).withColumn("__batch", F.floor(F.col("pos") / batch_rows)).persist()
-    numbers = [r["__batch"] for r in wanted.select("__batch").distinct().orderBy("__batch").collect()]
-    for n in numbers:
-        seq += 1
-        sinks.append(process(wanted.where(F.col("__batch") == n).drop("__batch")).withColumn("log_seq", F.lit(seq).cast("bigint")), log)
-    wanted.unpersist()
-    return in_order(inputs, last_wins(read_log(spark, log, full), [key], "log_seq").drop("log_seq"), key)
+    commits = CommitLog(spark, log)
+    before = last_wins(commits.read(schema), [key], "log_seq")
+    batch = F.floor(F.col("pos") / batch_rows).alias("__batch")
+    wanted = written(pending(inputs, before, key, done).select("*", batch), "pending", by=("__batch",))
+    for n in [r["__batch"] for r in wanted.select("__batch").distinct().orderBy("__batch").collect()]:
+        commits.append(process(wanted.where(F.col("__batch") == n).drop("__batch")))
+    return results(commits, schema, inputs, key)
 
 
 def stream(spark: SparkSession, source: str, schema: str, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> None:
