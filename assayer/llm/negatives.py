@@ -19,6 +19,7 @@ LEAST_ROWS = 1024  # rows of a bucket, and a quarter of that anchors of a block,
 MOST_BYTES = 1 << 25  # of a bucket's components, as doubles
 PIECES = 1024  # buckets, and blocks of anchors, that there should be
 CELLS = 1 << 20  # scores looked at together
+GROWTH = 8  # of the number of buckets from round to round
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -119,8 +120,8 @@ def _regrouped(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFr
         yield pd.concat(held, ignore_index=True)
 
 
-def routes(blocks: DataFrame, tops: list[tuple[int, float]], first: bool) -> DataFrame:
-    """(block, bucket): the buckets that some window of the block can have a row in; first the one of the largest norms, then all others."""
+def routes(blocks: DataFrame, tops: list[tuple[int, float]], start: int, stop: int) -> DataFrame:
+    """(block, bucket): of the buckets from place ``start`` to ``stop``, those that some window of the block can have a row in."""
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(tops)  # two numbers a bucket, the largest norm first
 
@@ -139,7 +140,7 @@ def routes(blocks: DataFrame, tops: list[tuple[int, float]], first: bool) -> Dat
                         near = mid + 1
                     else:
                         far = mid
-                to = ids[:1][:near] if first else ids[1:near]
+                to = ids[start : min(near, stop)]
                 yield pd.DataFrame({"block": np.full(len(to), block), "bucket": to})
 
     return blocks.select("block", "norms", "owner", "low", "kth").mapInPandas(run, "block long, bucket long")
@@ -214,30 +215,37 @@ def visit(pairs: DataFrame, store: Store, k: int, same: bool) -> DataFrame:
 WINDOW = ["anchor_id", "sign", "positive_id", "top"]
 
 
+def rounds(buckets: int) -> list[tuple[int, int]]:
+    """Places of buckets that are looked into together: one, then GROWTH times as many each time."""
+    out, start, wide = [], 0, 1
+    while start < buckets:
+        out.append((start, min(buckets, start + wide)))
+        start, wide = start + wide, wide * GROWTH
+    return out
+
+
 def search(asked: DataFrame, buckets: DataFrame, tops: list[tuple[int, float]], store: Store, size: int, count: int, k: int, same: bool) -> DataFrame:
     """The first k rows of each window: WINDOW, rank, vec_id, score.
 
-    First each block of anchors looks into the bucket of the largest norms;
-    the k-th score that a window finds there goes along as its limit, and only
-    buckets whose norms can reach some window's limit are looked into next.
+    Blocks of anchors look into the buckets by falling norm, in a few rounds.
+    After each, the k-th score that a window has so far becomes its limit, and
+    a bucket whose norms can't reach any limit of a block isn't looked into.
     """
-
-    def met(blocks: DataFrame, first: bool) -> DataFrame:
+    best, by = None, Window.partitionBy(*WINDOW).orderBy(F.desc("score"), "vec_id")
+    for start, stop in rounds(len(tops)):
+        now = asked
+        if best is not None:
+            best = kept(best, "best")
+            reached = best.groupBy(*WINDOW).agg(F.when(F.sum("n") >= k, F.min("score")).alias("kth")).where("kth is not null")
+            reached = reached.groupBy(F.col("anchor_id").alias("vec_id"), "sign").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("positive_id", "top"), "kth"))).alias("reached"))  # a window each
+            kth = lambda w: F.coalesce(F.try_element_at("reached", F.struct(w["positive_id"], w["top"])), w["kth"])
+            now = asked.join(reached, ["vec_id", "sign"], "left").withColumn("windows", F.transform("windows", lambda w: w.withField("kth", kth(w)))).drop("reached")
+        blocks = blocked(now, store, size, count)
         a = blocks.select("block", "norms", F.col("ids").alias("a_ids"), "signs", F.col("labels").alias("a_labels"), F.col("x").alias("a_x"), "owner", "positive", "low", "top", "kth")
-        return visit(routes(blocks, tops, first).join(a, "block").join(buckets, "bucket").drop("block", "bucket"), store, k, same)
-
-    found = met(blocked(asked, store, size, count), True)
-    if len(tops) > 1:
-        found = kept(found, "seeds")
-        # A bucket gives k rows a window at most, so this is the k-th.
-        reached = found.groupBy(*WINDOW).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth")).where("kth is not null")
-        reached = reached.groupBy(F.col("anchor_id").alias("vec_id"), "sign").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("positive_id", "top"), "kth"))).alias("reached"))  # POSITIVES a group
-        kth = lambda w: F.coalesce(F.try_element_at("reached", F.struct(w["positive_id"], w["top"])), w["kth"])
-        again = asked.join(reached, ["vec_id", "sign"], "left").withColumn("windows", F.transform("windows", lambda w: w.withField("kth", kth(w)))).drop("reached")
-        found = found.unionByName(met(blocked(again, store, size, count), False))
-    by = Window.partitionBy(*WINDOW).orderBy(F.desc("score"), "vec_id")
+        found = visit(routes(blocks, tops, start, stop).join(a, "block").join(buckets, "bucket").drop("block", "bucket"), store, k, same)
+        best = (found if best is None else best.unionByName(found)).withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).drop("place")
     copies = F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")))
-    return found.withColumn("copy", copies).select(*WINDOW, F.row_number().over(by).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return best.withColumn("copy", copies).select(*WINDOW, F.row_number().over(by).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def mine(
