@@ -56,3 +56,12 @@ def missing_roles(rows: DataFrame, roles: tuple[str, ...]) -> DataFrame:
 
 def holds_answer_tag(c: Column | str) -> Column:
     return F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))).contains("<answer")
+
+
+def argument(name: str, value, least=None, above=None, most=None, below=None):
+    """The value, if it is a number within the limits given; else an error that names it."""
+    limits = [(least, "at least", lambda v, x: v >= x), (above, "above", lambda v, x: v > x), (most, "at most", lambda v, x: v <= x), (below, "below", lambda v, x: v < x)]
+    for limit, words, holds in limits:
+        if limit is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or not holds(value, limit)):
+            raise ValueError(f"{name} must be {words} {limit}, not {value!r}")
+    return value

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .align import in_order
+from .checks import argument
 
 
 def complete(mode: str, role_report: Column | str | None = None, answer: str = "answer") -> Column:
@@ -50,6 +51,8 @@ def shard(rows: DataFrame, shards: int, index: int, limit: int | None = None) ->
     if not 0 <= index < shards:
         raise ValueError("the shard index must be below the number of shards")
     own = rows.where(F.col("pos") % shards == index)
+    if limit is not None:
+        argument("limit", limit, least=0)
     return own if limit is None else own.where(F.floor(F.col("pos") / shards) < limit)
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from ..operators.checks import argument
 from ..schemas import ROLES
 from .slots import Pace, Slots, serve  # noqa: F401
 
@@ -91,11 +94,19 @@ class Http:
     sleep: Callable[[float], None] = time.sleep
     slot: Callable[[], None] | None = None  # called before each request, retries included
 
+    def __post_init__(self) -> None:
+        if not self.url.strip() or not self.model.strip():
+            raise ValueError("url and model must be filled")
+        argument("max_tokens", self.max_tokens, least=1)
+        argument("temperature", self.temperature, least=0)
+        argument("timeout", self.timeout, above=0)
+        argument("retries", self.retries, least=0)
+        argument("backoff", self.backoff, least=0)
+
     def paced(self, slot: Callable[[], None]) -> Http:
         return replace(self, slot=slot)
 
     def send(self, payload: dict[str, Any]) -> tuple[int, dict[str, str], Any]:
-        import json
         import urllib.error
         import urllib.request
 
@@ -109,14 +120,18 @@ class Http:
         except (OSError, ValueError) as e:
             raise Failure(f"{type(e).__name__}: {e}", retry=True) from e
 
+    def shown(self, body: Any) -> str:
+        """A reply's body as errors tell it: never with the key."""
+        return str(body).replace(self.key, "[redacted]") if self.key else str(body)
+
     def once(self, messages: list[dict[str, Any]]) -> Reply:
         began = time.perf_counter()
         payload = {"model": self.model, "messages": messages, "max_tokens": self.max_tokens, "temperature": self.temperature} | self.extra
         status, headers, body = self.send(payload)
         if status in RETRIED:
-            raise Failure(f"HTTP {status}: {str(body)[:300]}", retry=True, after=seconds(headers.get("Retry-After", "")))
+            raise Failure(f"HTTP {status}: {self.shown(body)[:300]}", retry=True, after=seconds(headers.get("Retry-After", "")))
         if status >= 400:
-            raise Failure(f"HTTP {status}: {str(body)[:1000]}", retry=False)
+            raise Failure(f"HTTP {status}: {self.shown(body)[:1000]}", retry=False)
         try:
             text = content(body["choices"][0]["message"])
             tokens = int((body.get("usage") or {}).get("completion_tokens", 0) or 0)
@@ -138,6 +153,54 @@ class Http:
         raise AssertionError
 
 
+@dataclass
+class Single(Http):
+    """A server that is asked once a call, with a key that no error shows.
+
+    The URL may lack the version and the path of the endpoint. Errors are
+    told in one line of 300 characters at most, and an empty reply is one.
+    """
+
+    max_tokens: int = 512
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        self.key, self.model, self.url, self.retries = self.key.strip(), self.model.strip(), versioned(self.url), 0
+        if not self.key:
+            raise ValueError("a key is needed")
+
+    def once(self, messages: list[dict[str, Any]]) -> Reply:
+        try:
+            reply = super().once(messages)
+        except Failure as e:
+            # A cut may fall within the key, so the key goes first.
+            told = " ".join(str(e).replace(self.key, "[redacted]").split())
+            raise Failure(told if len(told) <= 300 else told[:300] + "…", retry=False) from None
+        if not reply.text.strip():
+            raise Failure("an empty reply", retry=False)
+        return replace(reply, text=reply.text.strip())
+
+
+def versioned(url: str) -> str:
+    """An endpoint's URL from that of its server, as the column function chat_url_versioned has it; others than http and https are an error."""
+    raw = url.strip().rstrip("/")
+    if not re.match(r"(?i)https?://[^/?#]+", raw):
+        raise ValueError("a URL must begin with http:// or https:// and a host")
+    path = re.match(r"[a-zA-Z]+://[^/?#]*([^?#]*)", raw)[1].rstrip("/")
+    return raw if path.endswith("/chat/completions") else raw + ("/chat/completions" if path.endswith("/v1") else "/v1/chat/completions")
+
+
+def extra_body(text: str) -> dict[str, Any]:
+    """Further fields of a request, given as a JSON object."""
+    try:
+        body = json.loads(text)
+    except ValueError as e:
+        raise ValueError(f"no JSON: {e}") from e
+    if not isinstance(body, dict):
+        raise ValueError("further fields must be a JSON object")
+    return body
+
+
 def seconds(value: str) -> float:
     try:
         return max(0.0, float(value.strip()))
@@ -188,6 +251,9 @@ def map_rows(rows: DataFrame, schema: str, process: Callable[[dict[str, Any], Ba
     all tasks together (:mod:`.slots`); slots may be given in its place, to share
     a rate with other plans. The result comes from an external service: write it before reading it twice.
     """
+    argument("concurrency", concurrency, least=1)
+    if not isinstance(rpm, Slots):
+        argument("rpm", rpm, least=0)
     names = StructType.fromDDL(schema).fieldNames()
     slots = serve(rows.sparkSession, rpm) if isinstance(rpm, (int, float)) and rpm > 0 else rpm or None
 

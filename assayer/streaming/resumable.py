@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import argument
 from ..operators.resume import last_wins, pending
 from ..scratch import written
 from ..sources import sinks
@@ -23,6 +24,7 @@ def run(inputs: DataFrame, process: Callable[[DataFrame], DataFrame], log: str,
     is there (:class:`.commits.CommitLog`): wherever a run ends, the next one
     goes on after the last commit, and no row is missing or there twice.
     """
+    argument("batch_rows", batch_rows, least=1)
     spark = inputs.sparkSession
     commits = CommitLog(spark, log)
     before = last_wins(commits.read(schema), [key], "log_seq")

@@ -223,3 +223,76 @@ def test_stores_that_only_spark_reads_are_listed_as_a_whole(spark, tmp_path, mon
     monkeypatch.setattr(media, "_arrow_path", lambda path: None)
     found = media.locate_below(spark.createDataFrame([("videos/a/1.mp4",)], "video_path string"), str(tmp_path)).first()
     assert found["media_kind"] == "frames"
+
+
+# --- servers -----------------------------------------------------------------------
+
+
+class Canned(chat.Single):
+    """Gives a prepared reply instead of asking a server; a class of its own, as executors import it."""
+
+    def send(self, payload):
+        sent.append((self.url, payload))
+        return canned[0]
+
+
+sent, canned = [], [None]
+
+
+def ask(status, body, **options):
+    canned[0] = (status, {}, body)
+    return Canned("https://h.example/api/", "m", key=" s3cret ", **options).chat([{"role": "user", "content": "q"}])
+
+
+def test_a_server_that_is_asked_once():
+    sent.clear()
+    assert ask(200, {"choices": [{"message": {"content": " yes "}}], "usage": {"completion_tokens": 3}}) == chat.Reply("yes", 3, pytest.approx(0, abs=1))
+    assert sent[0][0] == "https://h.example/api/v1/chat/completions" and sent[0][1]["max_tokens"] == 512
+    sent.clear()
+    for status, body in ((503, "busy s3cret"), (401, "wrong key s3cret\nline " + "x" * 295 + "s3cret"), (200, {"choices": []}), (200, {"choices": [{"message": {"content": " "}}]}), (200, "no json")):
+        with pytest.raises(chat.Failure) as e:
+            ask(status, body)
+        assert "s3" not in str(e.value) and "\n" not in str(e.value) and len(str(e.value)) <= 301 and not e.value.retry
+    assert len(sent) == 5  # one try each
+    assert "[redacted]" in str(pytest.raises(chat.Failure, ask, 401, "s3cret").value)
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [("http://h", "http://h/v1/chat/completions"), (" https://h/v1/ ", "https://h/v1/chat/completions"), ("HTTPS://h/x/chat/completions/", "HTTPS://h/x/chat/completions"), ("ftp://h", None), ("http://", None), ("", None)],
+)
+def test_urls_as_the_column_function_has_them(spark, url, want):
+    from assayer.functions import text
+
+    assert spark.createDataFrame([(url,)], "u string").select(text.chat_url_versioned("u")).first()[0] == want
+    if want:
+        assert chat.versioned(url) == want
+    else:
+        with pytest.raises(ValueError):
+            chat.versioned(url)
+
+
+@pytest.mark.parametrize("wrong", [{"url": " "}, {"model": ""}, {"max_tokens": 0}, {"temperature": -0.1}, {"timeout": 0}, {"retries": -1}, {"backoff": -1}, {"max_tokens": "7"}])
+def test_ranges_of_a_server(wrong):
+    with pytest.raises(ValueError):
+        chat.Http(**({"url": "http://h", "model": "m"} | wrong))
+
+
+def test_other_ranges(spark, tmp_path):
+    df = inputs(spark, 2)
+    for bad in ({"concurrency": 0}, {"rpm": -1}):
+        with pytest.raises(ValueError):
+            chat.map_rows(df, "video_path string, error string", timed, chat.Stub(), **bad)
+    with pytest.raises(ValueError):
+        resumable.run(df, answered("real"), str(tmp_path), SCHEMA, "video_path", resume.complete("single"), batch_rows=0)
+    for bad in ((0, 0), (2, 2), (2, -1)):
+        with pytest.raises(ValueError):
+            resume.shard(df, *bad)
+    with pytest.raises(ValueError):
+        resume.shard(df, 2, 1, limit=-1)
+    with pytest.raises(ValueError):
+        chat.Single("http://h", "m")
+    assert chat.extra_body('{"top_p": 0.5}') == {"top_p": 0.5}
+    for bad in ("[1]", "{", "7"):
+        with pytest.raises(ValueError):
+            chat.extra_body(bad)
