@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,10 @@ POSITIVE_ROWS = 3000  # confirmed toxic documents that a model is fitted on, at
 UNLABELLED_ROWS = 6000  # other documents, at most
 MARKS = 2048  # features, at most
 PREFIXES = (4, 5, 6, 7)  # characters of the beginnings of words that are features, too
-LEAST_ODDS = 3.0  # how much more frequent a feature is in toxic documents than in others
+LEAST_ODDS = 1.5  # how much more frequent a feature is in toxic documents than in all
 LEAST_SHARE = 0.01  # of the toxic documents that have it, so that a few copies' words are none
-LEAST_CHI2 = 25.0  # and how sure that is
+LEAST_CHI2 = 3.0  # and how sure that is
+RATE = 0.05  # of the steps: weights that are correlated need long ones
 LIKE = 0.8  # Jaccard similarity of the words of near copies
 THRESHOLD = 0.7
 
@@ -30,11 +32,22 @@ _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 
 
 def marks(text: str | None) -> set[str]:
-    """Distinct runs of letters, in lower case, and their beginnings, marked by a star."""
-    words = set(_WORD.findall(text.lower())) if text else set()
+    """Distinct runs of letters, in lower case, and their beginnings, marked by a star, by two if two words or more begin so.
+
+    A word that repeats counts each time: a beginning that chance puts into a
+    document stands there once, one that says something often more than that.
+    """
+    words = Counter(_WORD.findall(text.lower())) if text else Counter()
     out = set(words)
-    for k in PREFIXES:
-        out.update([w[:k] + "*" for w in words if len(w) >= k])
+    begun: Counter[str] = Counter()
+    for w, n in words.items():
+        for k in PREFIXES:
+            if len(w) >= k:
+                begun[w[:k]] += n
+    for stem, n in begun.items():
+        out.add(stem + "*")
+        if n > 1:
+            out.add(stem + "**")
     return out
 
 
@@ -53,29 +66,13 @@ def once(rows: DataFrame) -> DataFrame:
     Documents of one sign go only if their words, beginnings aside, are in fact
     like those of the first: a shared sign alone drops none.
     """
-    rows = cut(rows.distinct())
+    rows = rows.distinct()
     first = rows.groupBy("bad", "sign").agg(F.min(F.struct("id", "words")).alias("one"))
     a, b = (F.filter(c, lambda w: ~w.endswith("*")) for c in ("words", "one.words"))
     other = F.size(F.array_intersect(a, b)) < LIKE * F.size(F.array_union(a, b))
     return rows.join(first, ["bad", "sign"]).where(other | (F.struct("id", "words") == F.col("one"))).select("id", "bad", "words")
 
 
-def chosen_marks(ranked: list[str]) -> list[str]:
-    """Of marks, best first, those that aren't the beginning or the continuation of a better one."""
-    out: list[str] = []
-    starts: set[str] = set()  # all beginnings of what is taken
-    taken: set[str] = set()
-    for m in ranked:
-        stem = m.rstrip("*")
-        ways = {stem[:k] for k in range(1, len(stem) + 1)}
-        if stem in starts or ways & taken:
-            continue
-        out.append(m)
-        taken.add(stem)
-        starts |= ways
-    return sorted(out)
-
-
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
@@ -95,8 +92,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate:
     a flexible model from fitting the unlabelled rows as negative. Weights
     start at the features' log odds, where the loss has a slope.
     """
-    p = np.concatenate([pos, np.ones((len(pos), 1))], 1)
-    u = np.concatenate([unl, np.ones((len(unl), 1))], 1)
+    p = np.concatenate([pos, np.ones((len(pos), 1), pos.dtype)], 1)
+    u = np.concatenate([unl, np.ones((len(unl), 1), unl.dtype)], 1)
     odds = np.log((pos.sum(0) + 0.5) / (len(pos) + 1)) - np.log((unl.sum(0) + 0.5) / (len(unl) + 1))
     w = np.append(odds, np.log(prior / (1 - prior)))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -114,14 +111,15 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the rows whose id's crc32 modulo 3 is not 1.
 
-    Positives are documents that ``labels`` marks toxic; all others, labelled or
-    not, are unlabelled, as positive-unlabelled learning has it. The class
-    prior is the toxic share of the labels of those rows. Both sides are
-    bounded samples by hash of the id (POSITIVE_ROWS, UNLABELLED_ROWS).
-    Features are words and beginnings of words; Spark counts them and picks
-    the telling ones, and only these and which sampled documents have them come
-    to the driver. Without toxic rows or telling features every score is the
-    prior, below the threshold.
+    Positives are documents that ``labels`` marks toxic. The unlabelled side is
+    drawn from all documents, those among them, as the risk takes a share of
+    positives out of it: the class prior, which is the toxic share of the
+    labels of those rows. Both sides are bounded samples by hash of the id
+    (POSITIVE_ROWS, UNLABELLED_ROWS). Features are words and beginnings of
+    words; Spark counts them and picks up to MARKS that are commoner in toxic
+    documents, and only these and which sampled documents have them come
+    to the driver. Of rows that share an id each counts. Without toxic rows or
+    telling features every score is the prior, below the threshold.
     """
     spark = ready(docs.sparkSession)
     told = (
@@ -137,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.where(F.col(id_col).isNotNull() & (fold_of(id_col, 3) != 1)).select(F.col(id_col).cast("long").alias("id")).distinct()
     marked = ids.join(told, "id", "left").select("id", (F.coalesce("toxic", F.lit(0)) == 1).alias("bad"))
     bad = [r["id"] for r in sampled(marked.where("bad").select("id"), POSITIVE_ROWS, "id").collect()]
-    rest = [r["id"] for r in sampled(marked.where("not bad").select("id"), UNLABELLED_ROWS, "id").collect()]
+    rest = [r["id"] for r in sampled(marked.select("id"), UNLABELLED_ROWS, "id").collect()]
     if not bad:
         return empty
     chosen = spark.createDataFrame([(i, True) for i in bad] + [(i, False) for i in rest], "chosen long, bad boolean")
@@ -149,21 +147,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             )
 
     sample = cut(
-        once(
-            docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(chosen), F.col("id") == F.col("chosen"))  # POSITIVE_ROWS + UNLABELLED_ROWS ids at most
-            .select("id", "bad", "text")
-            .mapInPandas(sets, "id long, bad boolean, words array<string>, sign long")
-        )
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        .join(F.broadcast(chosen), F.col("id") == F.col("chosen"))  # POSITIVE_ROWS + UNLABELLED_ROWS ids at most
+        .select("id", "bad", "text")
+        .mapInPandas(sets, "id long, bad boolean, words array<string>, sign long")
     )
-    size = {r["bad"]: r["n"] for r in sample.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Copies count once where words are weighed up, so that no copied text makes its words telling. The risk takes both sides as they are.
+    unlike = cut(once(sample))
+    size = {r["bad"]: r["n"] for r in unlike.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}
     np_, nu = size.get(True, 0), size.get(False, 0)
     a, b = F.col("a"), F.col("b")  # documents with the word
     total = np_ + nu
     expected = (a + b) * np_ / total
     chi2 = (a - expected) ** 2 / (expected * (1 - (a + b) / (total + 1)))
     counted = (
-        sample.select("bad", F.explode("words").alias("word"))
+        unlike.select("bad", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.sum(F.col("bad").cast("long")).alias("a"), F.sum((~F.col("bad")).cast("long")).alias("b"))
         .where((F.col("a") >= max(3, math.ceil(LEAST_SHARE * np_))) & ((a + 0.5) / (np_ + 1) > LEAST_ODDS * (b + 0.5) / (nu + 1)))
@@ -171,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where(F.col("chi2") >= LEAST_CHI2)
     )
     best = counted.orderBy(F.desc("chi2"), F.desc(F.length("word")), "word").limit(MARKS).collect()
-    vocabulary = chosen_marks([r["word"] for r in best])
+    vocabulary = sorted(r["word"] for r in best)
     if not vocabulary:
         return empty
     place = {w: i for i, w in enumerate(vocabulary)}
@@ -185,12 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         kept = pick("words")
     rows = sample.select("id", "bad", kept.alias("words")).collect()
-    rows.sort(key=lambda r: (r["id"], sorted(r["words"])))
-    x = np.zeros((len(rows), len(vocabulary)))
+    rows.sort(key=lambda r: (r["id"], r["bad"], sorted(r["words"])))
+    x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, r in enumerate(rows):
         x[i, [place[w] for w in r["words"]]] = 1
     y = np.array([r["bad"] for r in rows], bool)
-    w = fit(x[y], x[~y], prior)
+    w = fit(x[y], x[~y], prior, rate=RATE, decay=0.0)
     return Model({v: float(c) for v, c in zip(vocabulary, w, strict=False)}, float(w[-1]))
 
 

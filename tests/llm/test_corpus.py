@@ -381,12 +381,21 @@ def test_toxicity_on_held_out_rows(spark):
     told = got.merge(con.execute("SELECT doc_id, toxic FROM labels").df())
     held = told[told.held_out]
     assert (held[held.toxic == 0].predicted == 0).all()
-    # 13 of 18: four hold none of the marks that three or more of the 33 toxic training documents share, one scores 0.69.
-    assert (held[held.toxic == 1].predicted == 1).sum() >= 13
+    # The other two of the 18 (documents 850 and 881) hold none of the words that toxic documents share, at whatever size.
+    assert (held[held.toxic == 1].predicted == 1).sum() >= 16
     english = con.execute("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\b(idiot|scum|clown|trash)\\b')").df()
     assert got.merge(english).predicted.mean() >= 0.75
 
 
+def test_toxicity_recall_where_there_is_enough_to_learn_from(spark):
+    """At sf0.1, with 305 toxic documents to learn from: nine in ten of the held-out ones, and one in a hundred clean ones at most."""
+    large = "/root/testdata/sf0.1"
+    got = toxicity.predictions(table(spark, large, "documents"), table(spark, large, "labels"))
+    told = got.where("held_out").join(table(spark, large, "labels"), "doc_id").toPandas()
+    assert (told.toxic == 1).sum() == 144 and (told[told.toxic == 1].predicted == 1).mean() >= 0.9
+    assert (told[told.toxic == 0].predicted == 1).mean() <= 0.01
+
+
 def test_toxic_documents_that_share_a_word_all_count(spark):
     """The only long word is in all documents: unlike ones stay in the training sample all the same, copies count once."""
     rng = random.Random(5)
@@ -449,8 +458,9 @@ def test_toxicity_scores_against_plain_computation(spark, con):
     assert model == toxicity.train(docs, labels)
     got = {r["doc_id"]: r for r in registry.QUERIES["op4_toxicity"](spark, MID).collect()}
     for i, t in duckdb.connect().execute(f"SELECT doc_id, text FROM '{MID}/documents.parquet'").fetchall():
-        words = {"".join(g) for k, g in itertools.groupby(t.lower(), lambda c: c.isalnum() and not c.isdecimal()) if k}
-        z = model.bias + sum(v for m, v in model.weights.items() if (m in words if not m.endswith("*") else any(w.startswith(m[:-1]) for w in words)))
+        words = ["".join(g) for k, g in itertools.groupby(t.lower(), lambda c: c.isalnum() and not c.isdecimal()) if k]
+        begun = Counter(w[:k] for w in words for k in toxicity.PREFIXES if len(w) >= k)
+        z = model.bias + sum(v for m, v in model.weights.items() if (m in words if not m.endswith("*") else begun[m.rstrip("*")] >= m.count("*")))
         want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["predicted"] == int(want >= 0.7)
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
