@@ -19,7 +19,7 @@ LEAST_ROWS = 1024  # rows of a bucket, and a quarter of that anchors of a block,
 MOST_BYTES = 1 << 25  # of a bucket's components, as doubles
 PIECES = 1024  # buckets, and blocks of anchors, that there should be
 CELLS = 1 << 20  # scores looked at together
-GROWTH = 8  # of the number of buckets from round to round
+GROWTH = 16  # of the number of buckets from round to round
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 

@@ -381,7 +381,7 @@ def test_toxicity_on_held_out_rows(spark):
     told = got.merge(con.execute("SELECT doc_id, toxic FROM labels").df())
     held = told[told.held_out]
     assert (held[held.toxic == 0].predicted == 0).all()
-    # The other two of the 18 (documents 850 and 881) hold none of the words that toxic documents share, at whatever size.
+    # The other two of the 18 (documents 850 and 881) hold none of the ten words and three beginnings that set toxic documents apart at sf0.1.
     assert (held[held.toxic == 1].predicted == 1).sum() >= 16
     english = con.execute("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\b(idiot|scum|clown|trash)\\b')").df()
     assert got.merge(english).predicted.mean() >= 0.75

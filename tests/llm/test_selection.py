@@ -72,6 +72,7 @@ def test_hard_negatives_against_brute_force(spark, monkeypatch, norms):
 
 def test_buckets_are_pruned(spark, monkeypatch):
     monkeypatch.setattr(negatives, "LEAST_ROWS", 40)
+    monkeypatch.setattr(negatives, "GROWTH", 8)
     met = []
     real = negatives.visit
     monkeypatch.setattr(negatives, "visit", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
