@@ -21,18 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str = "") -> str:
-    """A path there that nothing else has; what lies at it goes when the application ends."""
-    at = f"{shared_folder(spark)}/{name + '-' if name else ''}{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return at
+    """A path there that nothing else has."""
+    return f"{shared_folder(spark)}/{name + '-' if name else ''}{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` as a Parquet table there: its work is done once, its rows don't change, and its size is known to Catalyst.
 
-    With ``by``, in a folder for each value of these columns.
+    With ``by``, in a folder for each value of these columns. The table goes when the application ends.
     """
-    at = new_path(df.sparkSession, name)
+    spark, at = df.sparkSession, new_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at).select(*[f"`{c}`" for c in df.columns])
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # knows only what is there
+    return spark.read.schema(df.schema).parquet(at).select(*[f"`{c}`" for c in df.columns])
