@@ -18,8 +18,8 @@ FIT_ROWS = (8192, 65536)  # vectors that codebooks are fitted on: 16 a codeword,
 ASK_ROWS = (512, 4096)  # balls, a vector of each, whose true links tell how many cells a traversal needs; the second if the first give few
 ASK_LINKED = 64  # of them that have links, below which they are few
 RECALL = 0.99  # of those links, a vote a ball
-CELLS = (16, 256)  # cells that a traversal visits, at least, and up to which their number is measured to the cell
-PER_CELL = 16  # vectors of a cell, about, that the grid is laid out for
+CELLS = (4, 256)  # cells that a traversal visits, at least, and up to which their number is measured to the cell
+PER_CELL = 128  # vectors of a cell, about, that the grid is laid out for: comparing them costs less than more visits do
 CODES = (2, 4096)  # codewords of a half, at least and at most
 BLOCK = 2048  # vectors of a cell that one task holds
 PAIR_BYTES = 1 << 19  # of a ball's members that are compared with another's at a time
@@ -69,16 +69,18 @@ class Index:
         d1, d2 = self.halves(x)
         k1, k2 = d1.shape[1], d2.shape[1]
         n = min(self.visits if visits is None else visits, k1 * k2)
-        at = np.array([(i, j) for i in range(min(n, k1)) for j in range(min(n // (i + 1), k2))])
+        many = np.minimum(n // np.arange(1, min(n, k1) + 1), k2)
+        at1 = np.repeat(np.arange(len(many)), many)
+        at2 = np.arange(len(at1)) - np.repeat(np.cumsum(many) - many, many)
         out = np.zeros((len(x), n), np.int32)
-        step = max(1, min(1024, (1 << 22) // max(1, len(at))))
+        step = max(1, min(1024, (1 << 22) // max(1, len(at1))))
         for a in range(0, len(x), step):
             s = slice(a, a + step)
             o1, o2 = np.argsort(d1[s], 1, kind="stable"), np.argsort(d2[s], 1, kind="stable")
             r1, r2 = np.take_along_axis(d1[s], o1, 1), np.take_along_axis(d2[s], o2, 1)
-            total = r1[:, at[:, 0]] + r2[:, at[:, 1]]
+            total = r1[:, at1] + r2[:, at2]
             first = np.argsort(total, 1, kind="stable")[:, :n]
-            out[s] = np.take_along_axis(o1[:, at[:, 0]] * k2 + o2[:, at[:, 1]], first, 1)
+            out[s] = np.take_along_axis(o1[:, at1] * k2 + o2[:, at2], first, 1)
         return out
 
     def place(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -127,46 +129,74 @@ def reach(balls: DataFrame, index: Index) -> int:
     Of the ASK_ROWS balls with the smallest hashes one member each is asked, so
     that a group of copies, however large, is a vote or a few; more balls are
     asked if fewer than ASK_LINKED of them have such links. Its true links to
-    the members of all other balls are counted by brute force, each by the place
-    of the other's cell in the traversal of its own ball's leader. Places are
-    exact below CELLS[1] and rounded up to a power of two beyond, to all cells
-    at most: what comes out always meets RECALL of what was asked.
+    the members of all other balls are counted by brute force. A link is found
+    if either ball's leader visits the other's home, so its place is the nearer
+    one of the two. Places are exact below CELLS[1] and rounded up to a power
+    of two beyond, to all cells at most: what comes out always meets RECALL of
+    what was asked. If few have links even so, vectors at THRESHOLD exactly, in
+    random directions from those asked, must be found as well.
     """
     for rows in ASK_ROWS:
-        places = _places(balls, index, rows)
+        ask, places = _places(balls, index, rows)
         if len({asked for asked, _, _ in places}) >= ASK_LINKED:
-            break
-    return needed(places)
+            return needed(places)
+    return max(needed(places), needed(_planted(index, ask[: ASK_ROWS[0]])))
 
 
-def _places(balls: DataFrame, index: Index, rows: int) -> list[tuple[int, int, int]]:
-    """(asked, visits, n) of the links that leave the balls of ``rows`` asked vectors: so many are found by so many visits."""
+def _asked(balls: DataFrame, index: Index, rows: int) -> list:
+    """Of the balls with the smallest hashes: uid, cell, leader, and one member."""
     wide = 8 * index.width
     k = F.pmod(F.xxhash64(F.lit(11), "uid"), F.col("size"))
-    ask = sampled(balls.select("uid", _leader(index).alias("leader"), F.substring("members", k.cast("int") * wide + 1, F.lit(wide)).alias("one")), rows, "uid").collect()
-    uids, leaders, q = np.array([r["uid"] for r in ask]), _stack([r["leader"] for r in ask]), _stack([r["one"] for r in ask])
-    shared = balls.sparkSession.sparkContext.broadcast((index, uids, leaders, q))  # ASK_ROWS vectors at most
-    cells = len(index.books[0]) * len(index.books[1])
+    one = F.substring("members", k.cast("int") * wide + 1, F.lit(wide))
+    return sampled(balls.select("uid", "cell", _leader(index).alias("leader"), one.alias("one")), rows, "uid").collect()
+
+
+def _places(balls: DataFrame, index: Index, rows: int) -> tuple[list, list[tuple[int, int, int]]]:
+    """The asked, and (asked, visits, n) of the links that leave their balls: so many are found by so many visits."""
+    ask = _asked(balls, index, rows)
+    uids, homes = np.array([r["uid"] for r in ask]), np.array([r["cell"] for r in ask])
+    leaders, q = _stack(r["leader"] for r in ask), _stack(r["one"] for r in ask)
+    shared = balls.sparkSession.sparkContext.broadcast((index, uids, homes, leaders, q))  # ASK_ROWS vectors at most
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, uids, _, q = shared.value
+        index, uids, homes, leaders, q = shared.value
         for b in batches:
-            found = []
-            for uid, cell, x in zip(b["uid"], b["cell"], b["members"], strict=True):
+            asked, at, links = [], [], []
+            for k, (uid, x) in enumerate(zip(b["uid"], b["members"], strict=True)):
                 n = (q @ np.frombuffer(x).reshape(-1, q.shape[1]).T >= THRESHOLD).sum(1)
-                found += [(int(i), cell, int(n[i])) for i in np.flatnonzero(n) if uids[i] != uid]
-            yield pd.DataFrame(found, columns=["asked", "cell", "n"]).groupby(["asked", "cell"], as_index=False).sum()
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, _, leaders, _ = shared.value
-        for b in batches:
-            at = index.place(leaders[b["asked"]], b["cell"].to_numpy())
-            far = np.minimum(2 ** np.ceil(np.log2(at + 1)).astype(np.int64), cells)
-            yield pd.DataFrame({"asked": b["asked"], "visits": np.where(at < CELLS[1], at + 1, far), "n": b["n"]})
-
-    links = balls.select("uid", "cell", "members").mapInPandas(meet, "asked int, cell int, n long").groupBy("asked", "cell").agg(F.sum("n").alias("n"))
-    places = links.mapInPandas(rank, "asked int, visits long, n long").groupBy("asked", "visits").agg(F.sum("n").alias("n"))
-    return [(r["asked"], r["visits"], r["n"]) for r in places.collect()]
+                some = np.flatnonzero((n > 0) & (uids != uid))
+                asked.append(some)
+                at.append(np.full(len(some), k))
+                links.append(n[some])
+            if sum(map(len, asked)):
+                asked, at = np.concatenate(asked), np.concatenate(at)
+                other = np.stack([np.frombuffer(x[: 8 * index.width]) for x in b["members"]])
+                visits = _visits(index, leaders[asked], homes[asked], other[at], b["cell"].to_numpy()[at])
+                found = pd.DataFrame({"asked": asked, "visits": visits, "n": np.concatenate(links)})
+                yield found.groupby(["asked", "visits"], as_index=False).sum()
+
+    links = balls.select("uid", "cell", "members").mapInPandas(meet, "asked int, visits long, n long")
+    return ask, [(r["asked"], r["visits"], r["n"]) for r in links.groupBy("asked", "visits").agg(F.sum("n").alias("n")).collect()]
+
+
+def _visits(index: Index, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """The visits with which one of two leaders, a at home in at_a and b in at_b, comes to the other's home."""
+    at = np.minimum(index.place(a, at_b), index.place(b, at_a))
+    far = np.minimum(2 ** np.ceil(np.log2(at + 1)).astype(np.int64), len(index.books[0]) * len(index.books[1]))
+    return np.where(at < CELLS[1], at + 1, far)
+
+
+def _planted(index: Index, ask: list) -> list[tuple[int, int, int]]:
+    """As :func:`_places`, of a vector made for each one asked: its cosine is THRESHOLD, in a random direction."""
+    if index.width < 2 or not ask:
+        return []
+    x, rng = _stack(r["one"] for r in ask), np.random.default_rng(5)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-300)
+    made = THRESHOLD * x + math.sqrt(1 - THRESHOLD**2) * side
+    visits = _visits(index, _stack(r["leader"] for r in ask), np.array([r["cell"] for r in ask]), made, index.traverse(made, 1)[:, 0])
+    return [(i, int(v), 1) for i, v in enumerate(visits)]
 
 
 def needed(places: list[tuple[int, int, int]]) -> int:
@@ -244,8 +274,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
        become a few rows.
     2. Each ball's leader visits the cells nearest to it (multi-sequence
        order) and meets the balls at home there. How many is measured on the
-       balls (see :func:`reach`); where it is more than CELLS[0] and meeting
-       all balls moves fewer rows, all meet all instead, as in one cell. By the triangle inequality
+       balls (see :func:`reach`). By the triangle inequality
        of angles two balls link in whole, or not at all; or, near the
        threshold, it is left to their members. Cells with many rows are cut
        into pairs of blocks. Whole links add their counts and give a spanning
@@ -300,18 +329,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     visits = reach(balls, index)
     light = balls.select("uid", "node", "cell", _leader(index).alias("leader"), "radius", "size")
-    if visits > CELLS[0] and 2 * math.ceil(balls.count() / BLOCK) <= visits + 1:
-        light = light.withColumn("cell", F.lit(0)).withColumn("visits", F.array(F.lit(0)))
-    else:
-        wanted = spark.sparkContext.broadcast(replace(index, visits=visits))
-
-        def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    b["visits"] = wanted.value.traverse(_stack(b["leader"])).tolist()
-                    yield b
-
-        light = cut(light.mapInPandas(travel, "uid long, node long, cell int, leader binary, radius double, size long, visits array<int>"))
+    wanted = spark.sparkContext.broadcast(replace(index, visits=visits))
+
+    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                b["visits"] = wanted.value.traverse(_stack(b["leader"])).tolist()
+                yield b
+
+    light = cut(light.mapInPandas(travel, "uid long, node long, cell int, leader binary, radius double, size long, visits array<int>"))
     at_home = light.withColumn("at", F.col("cell"))
     visitors = light.withColumn("at", F.explode("visits"))
     loads = kept(
@@ -327,28 +353,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     resident = at_home.join(loads, "at").withColumn("i", F.pmod(salted, "hb").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
     visiting = visitors.join(loads, "at").withColumn("j", F.pmod(salted, "vb").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)))
 
-    def fresh(df: DataFrame) -> DataFrame:
+    def fresh(df: DataFrame, *more: str) -> DataFrame:
         """Under columns of their own: both sides come from one table."""
-        return df.select(*[F.col(c).alias(c) for c in keep])
-
-    keep = ["at", "i", "j", "uid", "node", "cell", "visits", "leader", "radius", "size"]
+        return df.select(*[F.col(c).alias(c) for c in ("at", "i", "j", "uid", "node", "leader", "radius", "size", *more)])
 
     def meet(key: tuple, home: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         """Rows (a, b, n): n > 0 adds n links to each member of ball a; 0 is an edge of nodes; -1 an undecided pair of balls."""
         out: list[tuple[int, int, int]] = []
         if len(home) and len(guest):
             at = key[0]
-            h = np.stack([np.frombuffer(x) for x in home["leader"]])
-            g = np.stack([np.frombuffer(x) for x in guest["leader"]])
+            h, g = _stack(home["leader"]), _stack(guest["leader"])
+            cos = g @ h.T
+            # Below this no two balls link; what is left is mostly small.
+            may = cos >= math.cos(min(math.pi, WIDE + 2 * EDGE + home["radius"].max() + guest["radius"].max()))
+            some_g, some_h = may.any(1), may.any(0)
+            home, guest, cos = home[some_h], guest[some_g], cos[np.ix_(some_g, some_h)]
             hu, gu = home["uid"].to_numpy(), guest["uid"].to_numpy()
             hn, gn = home["node"].to_numpy(), guest["node"].to_numpy()
             # Where each would visit the other, the pair counts once: with the smaller one as the guest.
             cells = guest["cell"].to_numpy()
-            back = np.zeros((len(g), len(h)), bool)
+            back = np.zeros(cos.shape, bool)
             for j, v in enumerate(home["visits"]):
                 back[:, j] = np.isin(cells, v)
             mine = (gu[:, None] != hu[None, :]) & (~back | (gu[:, None] < hu[None, :]))
-            cos = g @ h.T
             reach = guest["radius"].to_numpy()[:, None] + home["radius"].to_numpy()[None, :]
             angle = np.arccos(np.clip(cos, -1, 1))
             single = reach == 0
@@ -364,7 +391,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return pd.DataFrame(out, columns=["a", "b", "n"])
 
     met = cut(
-        fresh(resident).groupBy("at", "i", "j").cogroup(fresh(visiting).groupBy("at", "i", "j")).applyInPandas(meet, "a long, b long, n long")
+        fresh(resident, "visits").groupBy("at", "i", "j").cogroup(fresh(visiting, "cell").groupBy("at", "i", "j")).applyInPandas(meet, "a long, b long, n long")
     )
     full = _in_blocks(balls, index.width)
     pairs = (

@@ -140,9 +140,9 @@ def test_vector_links_and_recall(spark, monkeypatch, pair_bytes):
 
 @pytest.mark.parametrize("block", [2048, 16])
 def test_recall_beside_a_group_of_copies(spark, monkeypatch, block):
-    """A third of the rows are one vector: links between all others are found as well, whether cells are visited or all balls meet."""
+    """A third of the rows are one vector: links between all others are found as well, whatever the blocks of a cell."""
     monkeypatch.setattr(imi, "BLOCK", block)
-    monkeypatch.setattr(imi, "PER_CELL", 0.2)  # a grid as fine, and fitted on as small a share, as far larger tables have
+    monkeypatch.setattr(imi, "PER_CELL", 2)  # a grid as fine, and fitted on as small a share, as far larger tables have
     monkeypatch.setattr(imi, "FIT_ROWS", (600, 600))
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -169,6 +169,38 @@ def test_visits_have_a_vote_a_ball():
         assert (index.place(x, index.traverse(x, 35)[:, place]) == place).all()
 
 
+def test_visits_count_from_the_nearer_side():
+    """A link is found if either leader comes to the other's home."""
+    rng = np.random.default_rng(6)
+    index = imi.Index(6, (rng.normal(size=(7, 3)), rng.normal(size=(5, 3))))
+    a, b = rng.normal(size=(40, 6)), rng.normal(size=(40, 6))
+    at_a, at_b = index.traverse(a, 1)[:, 0], index.traverse(b, 1)[:, 0]
+    for x, y, cx, cy, n in zip(a, b, at_a, at_b, imi._visits(index, a, at_a, b, at_b), strict=True):
+        there, back = index.traverse(x[None], 35)[0].tolist(), index.traverse(y[None], 35)[0].tolist()
+        assert n == min(there.index(cy), back.index(cx)) + 1
+
+
+def test_visits_are_measured_where_nothing_links(spark, monkeypatch):
+    """No vector links: those made at the threshold tell how many visits a link would need, and others made so are found with them."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen = []
+    monkeypatch.setattr(imi, "PER_CELL", 4)
+    monkeypatch.setattr(imi, "needed", lambda places, needed=imi.needed: seen.append((len(places), needed(places))) or seen[-1][1])
+    got = imi.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+    assert all(r["n_links"] == 0 for r in got)
+    (links, least), (made, visits) = seen
+    assert links == 0 and least == imi.CELLS[0] and made == imi.ASK_ROWS[0] and visits > least
+    side = rng.normal(size=(1000, 64))
+    side -= (side * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    index = imi.Index(64, (imi._codebook(x[:, :32], 32), imi._codebook(x[:, 32:], 32)))
+    made = 0.9 * x[:1000] + np.sqrt(0.19) * side
+    need = imi._visits(index, x[:1000], index.traverse(x[:1000], 1)[:, 0], made, index.traverse(made, 1)[:, 0])
+    assert (need <= visits).mean() >= 0.95
+
+
 def test_vector_links_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, inf]), (6, [1.0, None]), (7, [3e38, 1e38]), (8, [3.0, 1.0]), (9, [3.0, 1.0, 0.0]), (9, [3.0, 1.0, 0.0]), (10, [-3.0, -1.0]), (None, [3.0, 1.0])]
