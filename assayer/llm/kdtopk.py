@@ -19,6 +19,7 @@ SCALE = 1024
 SHARD_ROWS = 8192  # vectors of a shard, about
 SHARD_BYTES = 1 << 23  # and what their components take, at most
 BLOCK_ROWS = 4096  # queries that visit a shard at a time, about
+PIECE_ROWS = 4096  # visits that are written at a time, about
 LEAF = 64  # vectors of a leaf
 SPLIT_ROWS = 16384  # vectors that the splits above the shards are taken from, at most
 BOX_BYTES = 1 << 25  # of the regions' boxes, which travel to all queries
@@ -258,22 +259,33 @@ def routes(asked: DataFrame, built: Shards, blocks: int, first: bool) -> DataFra
             best = bound.argmax(1)
             own = b["salt"].to_numpy() % parts[best]
             if first:
-                at, to, part = np.arange(len(b)), best, own
+                pieces = [(np.arange(len(b)), best, own)]
             else:
                 near = bound >= b["kth"].to_numpy()[:, None] if exact else np.ones_like(bound, bool)
-                at, to = np.nonzero(near)
-                at, to = np.repeat(at, parts[to]), np.repeat(to, parts[to])
-                part = _count_up(at, to)
-                other = (to != best[at]) | (part != own[at])
-                at, to, part = at[other], to[other], part[other]
-            yield pd.DataFrame(
-                {"region": region[to], "part": part, "block": b["salt"].to_numpy()[at] // 1024 % blocks, "vec_id": b["vec_id"].to_numpy()[at],
-                 "sign": b["sign"].to_numpy()[at], "x": b["x"].to_numpy()[at], "kth": b["kth"].to_numpy()[at]}
-            )
+                pieces = _others(*np.nonzero(near), parts, best, own)
+            for at, to, part in pieces:
+                yield pd.DataFrame(
+                    {"region": region[to], "part": part, "block": b["salt"].to_numpy()[at] // 1024 % blocks, "vec_id": b["vec_id"].to_numpy()[at],
+                     "sign": b["sign"].to_numpy()[at], "x": b["x"].to_numpy()[at], "kth": b["kth"].to_numpy()[at]}
+                )
 
     return asked.select("vec_id", "sign", "x", "kth", F.pmod(F.xxhash64(F.lit(1), "vec_id", "sign"), F.lit(1 << 30)).alias("salt")).mapInPandas(run, ROUTE)
 
 
+def _others(at: np.ndarray, to: np.ndarray, parts: np.ndarray, best: np.ndarray, own: np.ndarray) -> Iterator[tuple]:
+    """(query, region, part) of all shards of the regions ``to`` that queries ``at`` reach, but for the one visited first, PIECE_ROWS at a time.
+
+    Only a query's vector for PIECE_ROWS shards, or for those of one region, is held at once.
+    """
+    piece = np.cumsum(parts[to]) // PIECE_ROWS
+    for hits in np.split(np.arange(len(at)), np.flatnonzero(np.diff(piece)) + 1):
+        times = parts[to[hits]]
+        i, j = np.repeat(at[hits], times), np.repeat(to[hits], times)
+        part = _count_up(i, j)
+        other = (j != best[i]) | (part != own[i])
+        yield i[other], j[other], part[other]
+
+
 def _count_up(*keys: np.ndarray) -> np.ndarray:
     """0, 1, 2 ... within each run of equal keys."""
     n = len(keys[0])

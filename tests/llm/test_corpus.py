@@ -235,6 +235,7 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(kdtopk, "SHARD_ROWS", 100)
     monkeypatch.setattr(kdtopk, "SPLIT_ROWS", 16)  # fewer regions than shards, so that regions have parts
     monkeypatch.setattr(kdtopk, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(kdtopk, "PIECE_ROWS", 1)
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(np.float32(v)) for v in rng.integers(-3, 4, 4) / 4]) for i in range(700)]  # many ties
     got = {}
@@ -283,6 +284,18 @@ def test_queries_visit_few_shards(spark, monkeypatch):
     assert sent[1] <= 1.1 * sent[0] and sent[1] < 0.5
 
 
+def test_visits_are_written_in_pieces(monkeypatch):
+    """Whatever a piece holds, together they hold every shard that a query reaches once, but for its first."""
+    parts, best, own = np.array([1, 3, 2]), np.array([1, 0]), np.array([2, 0])
+    at, to = np.array([0, 0, 0, 1, 1]), np.array([0, 1, 2, 0, 1])
+    want = [(0, 0, 0), (0, 1, 0), (0, 1, 1), (0, 2, 0), (0, 2, 1), (1, 1, 0), (1, 1, 1), (1, 1, 2)]
+    for rows in (1, 2, 4, 4096):
+        monkeypatch.setattr(kdtopk, "PIECE_ROWS", rows)
+        pieces = [list(zip(*(x.tolist() for x in p), strict=True)) for p in kdtopk._others(at, to, parts, best, own)]
+        assert sum(pieces, []) == want and all(len(p) < rows + parts.max() for p in pieces)
+    assert [len(x) for x, _, _ in kdtopk._others(at[:0], to[:0], parts, best, own)] == [0]
+
+
 def test_top_k_on_odd_rows(spark):
     nan = float("nan")
     twice = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0])]
