@@ -112,7 +112,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     It is fitted on a bounded sample, by hash of the id: TRAIN_EACH documents a
     language and TRAIN_ROWS in all, at most, of the TRAIN_ROWS most frequent
     languages. Where these are more than TRAIN_ROWS, every language has its
-    first rows before any has more. Their features, not their texts, come to
+    first rows before any has more. Of different texts under one id and language
+    that with the smallest hash is taken, so runs agree. Their features, not their texts, come to
     the driver.
     """
     from pyspark.sql import Window
@@ -130,14 +131,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "x": [features(t).astype(np.float16).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "lang": b["lang"], "sign": b["sign"], "x": [features(t).astype(np.float16).tobytes() for t in b["text"]]})
 
     ids = docs.sparkSession.createDataFrame(chosen, "chosen long, of string")
     rows = (
         known.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+        .withColumn("sign", F.xxhash64("text"))
         .join(F.broadcast(ids), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("of")), "left_semi")  # TRAIN_ROWS ids at most
-        .mapInPandas(run, "id long, lang string, x binary")
-        .dropDuplicates(["id", "lang"])
+        .mapInPandas(run, "id long, lang string, sign long, x binary")
+        .groupBy("id", "lang")
+        .agg(F.min_by("x", "sign").alias("x"))
         .collect()
     )
     rows.sort(key=lambda r: (r["id"], r["lang"]))

@@ -134,7 +134,8 @@ def repeat(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     A repetition that takes only a fraction of a document (one a source at
     most) carries that many of its words, joined by one space; its n_chars, if
     there is such a column, is counted anew. Documents of which no word is
-    taken go, and so do documents without words.
+    taken go, and so do documents without words. Texts are taken whole, however
+    long; a row of one is one row, repeated at most ``epochs`` times.
     """
     rows = mix(docs, text_col=text_col, carry=tuple(docs.columns), **options).where("taken > 0")
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")

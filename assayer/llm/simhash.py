@@ -40,15 +40,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long."""
+    """(doc_id, fp, sign): the fingerprint of every row's whole text as a signed long, and a hash of the text itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "sign": b["sign"]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, fp long"
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("sign")).mapInPandas(
+        run, "doc_id long, fp long, sign long"
     )
 
 
@@ -189,13 +190,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id of what they link with, if any. Repeated rows stay.
     """
     ready(docs.sparkSession)
-    prints = cut(fingerprints(docs, id_col, text_col))
+    prints = cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
     first = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("parts")), "prints")
-    of = components(links(first.select("fp")))
-    roots = (
-        first.join(of.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "least_id", "parts", F.coalesce("component", "fp").alias("root"))
-    )
+    roots = _rooted(first)
     ids = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = roots.join(ids, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     # Fingerprints of over COPIES rows are dealt into parts: a row for COPIES rows at most.
@@ -207,14 +204,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """``prints``, a row a fingerprint, with the root of its component: the smallest fingerprint."""
+    of = components(links(prints.select("fp")))
+    return prints.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest id.
 
-    Rows that repeat that id go as well but for one of them; rows with a null
-    id stay, as nothing tells which document they are.
+    A document is an id with a text. Where one id stands on different texts,
+    each is in the group of its own text, and of those in one group that with
+    the smallest hash of its text stays. Rows that repeat both are one
+    document: of them one stays, by hash of its columns, so runs agree. Rows
+    with a null id stay, as nothing tells which document they are.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    once = named.join(kept, named[id_col].cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    ready(docs.sparkSession)
+    prints = cut(fingerprints(docs, id_col, text_col))
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "sign"))).alias("least")
+    first = _rooted(kept(prints.groupBy("fp").agg(least), "prints")).groupBy("root").agg(F.min("least").alias("least"))
+    wanted = first.where("least is not null").select("least.doc_id", "least.sign")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    named = docs.where(F.col(id_col).isNotNull()).select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("sign"))
+    by = F.xxhash64(F.to_json("row"))
+    once = named.join(wanted, ["doc_id", "sign"], "left_semi").groupBy("doc_id", "sign").agg(F.min_by("row", by).alias("row"))
+    return once.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

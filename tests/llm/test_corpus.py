@@ -832,6 +832,25 @@ def test_passages_where_places_are_hot(spark, monkeypatch):
 # --- odd tables -------------------------------------------------------------------
 
 
+def test_one_id_on_different_texts(spark):
+    """Each text is a document of its own, whatever order the rows come in: none that is no near copy goes, and models agree."""
+    r = random.Random(9)
+    text = lambda k: " ".join(r.choice("abcdefgh") * r.randrange(2, 9) for _ in range(k))
+    one, two, three = text(60), text(60), text(60)
+    rows = [(1, one, "en", "a"), (1, two, "en", "a"), (1, two, "fr", "b"), (2, two, "en", "a"), (3, three, "fr", "a"), (0, three, "fr", "a"), (None, one, "en", "a"), (3, text(60), "fr", "a"), (4, one, "en", "c")]
+    want = {(1, one), (1, two), (0, three), (None, one), (3, rows[7][1])}
+    seen, fitted = set(), []
+    for k in range(3):
+        r.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, sign string").repartition(1 + k)
+        out = [tuple(x) for x in simhash.keep_first(docs).collect()]
+        assert {x[:2] for x in out} == want and len(out) == len(want)
+        seen.add(tuple(sorted(out, key=str)))
+        fitted.append(langid.train(docs))
+    assert len(seen) == 1
+    assert all(len({np.asarray(v).tobytes() for v in vs}) == 1 for vs in zip(*(vars(m).values() for m in fitted), strict=True))
+
+
 def test_odd_documents(spark):
     docs = odd_docs(spark)
     n = docs.count()
