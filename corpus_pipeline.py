@@ -30,8 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each SimHash component the document with the smallest id stays, once if its row repeats.
 
     Null and empty texts count as near copies of one another; rows with a null
-    id all stay, as nothing tells which document they are. Ties don't arise
-    between ids. An empty table stays empty.
+    id all stay, as nothing tells which document they are. Different texts
+    under one id are documents of their own, each in the component of its text;
+    ties go to the smallest hash of the text. An empty table stays empty.
     """
     return simhash.keep_first(docs)
 
