@@ -21,21 +21,20 @@ def _schema(schema: str | T.StructType) -> T.StructType:
 
 
 def numbered(rows: DataFrame, name: str = "pos") -> DataFrame:
-    """Rows with their dense position in file order.
+    """Rows with their dense position in file order; of several files, those of the smaller path come first.
 
-    Row numbers within a scan's partitions, plus how many rows the partitions
-    before hold: a second scan that only counts, and a join with one row a
-    partition. Nothing is shuffled and nothing leaves the JVM. Only for rows
-    straight from files, whose partitions are the same each time.
+    Row numbers within a file's split, plus how many rows the splits before it
+    hold: a second scan that only counts, and a join with one row a split. A
+    scan's partitions tell no order, as Spark deals out splits by their size.
+    Nothing is shuffled and nothing leaves the JVM. Only for rows straight from
+    files, whose partitions are the same each time.
     """
-    marked = rows.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__offset"))
-    joined = marked.join(F.broadcast(offsets), part == F.col("__part"))
-    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.withColumn(name, F.col("__offset") + within).drop("__at", "__part", "__offset")
+    marked = rows.withColumns({"__at": F.monotonically_increasing_id(), "__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start")})
+    counts = marked.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__begins"))
+    before = F.sum("n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__file", "__start", "__begins", F.coalesce(before, F.lit(0)).alias("__offset"))
+    joined = marked.join(F.broadcast(offsets), ["__file", "__start"])
+    return joined.withColumn(name, F.col("__offset") + F.col("__at") - F.col("__begins")).drop("__at", "__file", "__start", "__begins", "__offset")
 
 
 def ranked(rows: DataFrame, by: Column, name: str = "pos", width: int = 1 << 16) -> DataFrame:

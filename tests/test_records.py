@@ -274,6 +274,18 @@ def test_repair(spark, tmp_path):
         records.repair_truncated(spark, "x.json", SCHEMA)
 
 
+def test_order_of_a_folder_of_files(spark, tmp_path):
+    """Files count in the order of their names, though Spark reads larger ones first; the torn line is the last file's."""
+    lines = [json.dumps({"video_path": f"v{i}"}) for i in range(60)]
+    ends = [0, 2, 50, 57, 60]
+    (tmp_path / "log.jsonl").mkdir()
+    for k in range(4):
+        torn = '\n{"video_pa' if k == 3 else "\n"
+        write(tmp_path / "log.jsonl" / f"part-0000{k}.txt", "\n".join(lines[ends[k] : ends[k + 1]]) + torn)
+    rows = records.repair_truncated(spark, str(tmp_path / "log.jsonl"), SCHEMA).orderBy("pos").collect()
+    assert [(r["pos"], r["video_path"]) for r in rows] == [(i, f"v{i}") for i in range(60)]
+
+
 def test_keys(spark, tmp_path):
     for name, content in (("k.json", '["a", {"video_path": " b "}]'), ("k.jsonl", '{"video_path": "a"}\n{"video_path": "b"}\n'), ("k.txt", "a\n\n b\n")):
         assert [r["video_path"] for r in records.read_keys(spark, write(tmp_path / name, content)).orderBy("pos").collect()] == ["a", "b"]
