@@ -90,7 +90,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest of its component. Rounds alternate large-star and small-star
     steps; each is two aggregations with map-side combining and two equi-joins
     on the node, where adaptive execution splits a hub's edges (skew joins,
-    which are on by default); each round's edges go to the checkpoint folder. Empty edges give an empty result; self-loops
+    which are on by default); each round's edges go to the checkpoint folder. A checkpoint keeps the estimated size of
+    what it was made from, which an explosion of rows leaves as it was, so the
+    joins sort and merge: no edges are broadcast. Empty edges give an empty result; self-loops
     and nulls are ignored.
     """
     e = (
@@ -107,10 +109,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(least, "a")
+            large.join(least.hint("merge"), "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")

@@ -140,7 +140,9 @@ def links(fps: DataFrame) -> DataFrame:
     map side. Anchors with over BLOCK fingerprints are cut
     into blocks by a hash of the fingerprint, and each pair of blocks is a
     unit of its own, so no task holds more than two blocks of an anchor. Each
-    unit gives a spanning forest of its links, never all pairs.
+    unit gives a spanning forest of its links, never all pairs. Catalyst takes
+    the replicas for as few bytes as the fingerprints they come from, so the
+    join with the counts is told to sort and merge: nothing of it is broadcast.
     """
     # A number of partitions, since a small table would be merged into a few before it grows 35-fold.
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
@@ -152,7 +154,7 @@ def links(fps: DataFrame) -> DataFrame:
         .select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     units = (
-        rows.join(busy, "anchor")
+        rows.join(busy.hint("merge"), "anchor")
         .withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "home")
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _rooted(prints: DataFrame) -> DataFrame:
     """``prints``, a row a fingerprint, with the root of its component: the smallest fingerprint."""
     of = components(links(prints.select("fp")))
-    return prints.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
+    return prints.join(of.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

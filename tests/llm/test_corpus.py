@@ -617,6 +617,33 @@ def test_anchors_meet_every_pair(spark, monkeypatch):
     assert rows.groupBy("fp").count().agg(F.max("count")).first()[0] <= 34
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts of over 2 MB fail, as they would at size on a driver of little memory."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_replicated_fingerprints_are_not_broadcast(spark, tmp_path, small_broadcasts):
+    """Some 70 rows a fingerprint, which Catalyst estimates as one."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), 1 << 63, 10_000)
+    near = base[:100] ^ (1 << np.arange(100) % 60)
+    spark.createDataFrame([(int(x),) for x in (*base, *near)], "fp long").write.parquet(f"{tmp_path}/prints")
+    got = {tuple(sorted(x)) for x in simhash.links(spark.read.parquet(f"{tmp_path}/prints")).collect()}
+    assert got == {tuple(sorted((int(a), int(b)))) for a, b in zip(base, near)}
+
+
+def test_edges_are_not_broadcast(spark, tmp_path, small_broadcasts):
+    """Edges from an explosion keep the estimate of what they were exploded from, through the checkpoint too."""
+    spark.range(100).select((F.col("id") * 10_000).alias("a")).write.parquet(f"{tmp_path}/roots")
+    edges = spark.read.parquet(f"{tmp_path}/roots").select("a", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 3000)).alias("b"))
+    got = components(edges)
+    assert got.count() == 300_000
+    assert got.where("component <> node - node % 10000").count() == 0
+
+
 def _group(root):
     out = {}
     for k, v in root.items():
