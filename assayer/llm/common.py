@@ -51,14 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """Like :func:`cut`, as compressed Parquet of known size, so that Catalyst may broadcast it if it is small.
 
-    The folder goes when the application ends.
+    With ``plain`` neither compressed nor in dictionaries: numbers that repeat
+    count for as much as they take in memory. The folder goes when the
+    application ends.
     """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    how = {"compression": "uncompressed", "parquet.enable.dictionary": "false"} if plain else {}
+    df.write.options(**how).parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
@@ -90,9 +93,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest of its component. Rounds alternate large-star and small-star
     steps; each is two aggregations with map-side combining and two equi-joins
     on the node, where adaptive execution splits a hub's edges (skew joins,
-    which are on by default); each round's edges go to the checkpoint folder. A checkpoint keeps the estimated size of
-    what it was made from, which an explosion of rows leaves as it was, so the
-    joins sort and merge: no edges are broadcast. Empty edges give an empty result; self-loops
+    which are on by default); each round's edges go to the checkpoint folder,
+    as plain tables: a checkpoint would keep the estimated size of what it was made from, which an explosion of rows
+    leaves as it was, and Catalyst would broadcast edges of any number. Empty edges give an empty result; self-loops
     and nulls are ignored.
     """
     e = (
@@ -100,7 +103,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    e = cut(e)
+    e = kept(e, "edges", plain=True)
     before = _fingerprint(e)
     for _ in range(rounds):
         if before[0] == 0:
@@ -109,16 +112,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
-            large.join(least.hint("merge"), "a")
+            large.join(least, "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
             .distinct()
         )
-        e = cut(small)
+        last, e = e, kept(small, "edges", plain=True)
+        drop_kept(last)
         after = _fingerprint(e)
         if after == before:
             break

@@ -619,10 +619,13 @@ def test_anchors_meet_every_pair(spark, monkeypatch):
 
 @pytest.fixture
 def small_broadcasts(spark):
-    """Broadcasts of over 2 MB fail, as they would at size on a driver of little memory."""
-    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    """Tables of 256 KB may be broadcast, and those that take over 2 MB in memory fail, as they would at size on a driver of little memory."""
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "2m"}
+    for key, size in sizes.items():
+        spark.conf.set(key, size)
     yield
-    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    for key in sizes:
+        spark.conf.unset(key)
 
 
 def test_replicated_fingerprints_are_not_broadcast(spark, tmp_path, small_broadcasts):
