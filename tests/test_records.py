@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import threading
 
 import pytest
 from hypothesis import given, settings
@@ -286,6 +287,30 @@ def test_order_of_a_folder_of_files(spark, tmp_path):
     assert [(r["pos"], r["video_path"]) for r in rows] == [(i, f"v{i}") for i in range(60)]
 
 
+def test_threads_are_for_backends_that_wait():
+    """The four observers are asked at once where answers are waited for, and in line where they are computed; the results are the same."""
+
+    class Seen(chat.Stub):
+        def chat(self, messages):
+            threads.add(threading.get_ident())
+            return super().chat(messages)
+
+    class Waiting(Seen):
+        waits = True
+
+        def chat(self, messages):
+            if "<observation>" in messages[-1]["content"]:
+                together.wait(20)  # until all four are there
+            return super().chat(messages)
+
+    threads, together, got = set(), threading.Barrier(4), {}
+    for kind in (Seen, Waiting):
+        threads.clear()
+        got[kind] = modes.process({}, kind(), "flagship") | {"wall_sec": 0}
+        assert len(threads) == (1 if kind is Seen else 5)
+    assert got[Seen] == got[Waiting] and len(got[Seen]["calls"]) == 5
+
+
 def test_keys(spark, tmp_path):
     for name, content in (("k.json", '["a", {"video_path": " b "}]'), ("k.jsonl", '{"video_path": "a"}\n{"video_path": "b"}\n'), ("k.txt", "a\n\n b\n")):
         assert [r["video_path"] for r in records.read_keys(spark, write(tmp_path / name, content)).orderBy("pos").collect()] == ["a", "b"]
