@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +26,63 @@ CAPACITY = 2048
 END = 1  # the id after each document
 CACHED_WORDS = 300_000  # different ones in each generation that a worker remembers
 LONGEST_CACHED = 64  # bytes of a word worth remembering
-#: Texts below U+0250 without white space, whose lower case and composition don't depend on what is around.
-LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+").fullmatch
+TOGETHER = 1 << 22  # bytes of texts that are encoded at once, a longer text alone
+#: Texts below U+0250 without white space, whose lower case (one character for each) and composition don't depend on what is around.
+LATIN = "^[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+$"
 _CLASS = 44  # bits of a place among the pieces of a length
 
 
+def _listed(values: pa.Array) -> list:
+    """Like to_pylist, which makes a scalar of each value first."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class Memory(dict):
+    """Ids of strings, in two generations of at most CACHED_WORDS: this, and ``old``.
+
+    ``learn`` gives the ids of strings that neither holds.
+    """
+
+    def __init__(self, learn: Callable[[pa.BinaryArray], list[bytes]]):
+        self.learn, self.old = learn, {}
+
+    def joined(self, lists: pa.ListArray) -> list[bytes]:
+        """The ids of each list's strings, one after another. Each different string is looked up once."""
+        strings = lists.flatten().dictionary_encode()
+        if not len(strings):
+            return [b""] * len(lists)
+        here = _listed(strings.dictionary.view(pa.binary()))
+        got = list(map(self.get, here))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        old = self.old
+        if len(self) + len(missing) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for i in missing:
+            ids = got[i] = old.get(here[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self[here[i]] = ids
+        if new:
+            for i, ids in zip(new, self.learn(strings.dictionary.take(pa.array(new))), strict=True):
+                got[i] = ids
+                if len(here[i]) <= LONGEST_CACHED:
+                    self[here[i]] = ids
+        _, ends, data = pa.array(got, pa.large_binary()).take(strings.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()]
+        data = memoryview(data or b"")
+        return [data[i:j].tobytes() for i, j in pairwise(at.tolist())]
+
+
 class Encoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, by their different words.
 
-    The vocabulary's rules never look across white space, so what stands
-    between two white spaces is encoded once and remembered, in two
-    generations of CACHED_WORDS. Words of Latin letters and signs, whose
-    normal form is themselves in lower case, are split here, so that their
+    The vocabulary's rules never look across white space, so Arrow splits
+    texts there, and what stands between two white spaces is encoded once and
+    remembered. Words of Latin letters and signs, whose normal form is
+    themselves in lower case, are split by Arrow as well, so that their
     parts are merged once for all spellings; others go through the library as they are.
     """
 
@@ -45,60 +90,34 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old, self.parts = Tokenizer.from_str(model), {}, {}, {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_str(model), Memory(self._words), Memory(self._parts)
         self.merge = self.tokenizer.model.tokenize
         # The printable sign that stands for each byte: itself, or the next one from 256 on.
         kept = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
         others = [b for b in range(256) if b not in kept]
         self.signs = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
         rules = json.loads(model)
-        split = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split).findall
+        self.rule = rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.special = [t["content"] for t in rules["added_tokens"]]
 
-    def _part(self, part: str) -> bytes:
-        text = part if part.isascii() else "".join(map(self.signs.__getitem__, part.encode()))
-        return array("I", [t.id for t in self.merge(text)]).tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Remembers words."""
-        whole = []
-        if len(self.parts) > CACHED_WORDS:
-            self.parts = {}
-        parts = self.parts
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            if not LATIN(t) or ("<" in t and any(x in t for x in self.special)):
-                whole.append((w, t))
-                continue
-            ids = b""
-            for x in self.split(t.lower()):
-                known = parts.get(x)
-                if known is None:
-                    known = self._part(x)
-                    if len(x) <= LONGEST_CACHED:
-                        parts[x] = known
-                ids += known
-            self.known[w] = ids
-        got = self.tokenizer.encode_batch_fast([t for _, t in whole], add_special_tokens=False)
-        for (w, _), e in zip(whole, got, strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+    def _parts(self, parts: pa.StringArray) -> list[bytes]:
+        merge, sign = self.merge, self.signs.__getitem__
+        texts = (p if p.isascii() else "".join(map(sign, p.encode())) for p in _listed(parts))
+        return [array("I", [t.id for t in merge(t)]).tobytes() for t in texts]
+
+    def _words(self, words: pa.StringArray) -> list[bytes]:
+        latin = pc.match_substring_regex(words, LATIN)
+        for s in self.special:
+            latin = pc.and_not(latin, pc.match_substring(words, s))
+        parts = pc.replace_substring_regex(pc.utf8_lower(words.filter(latin)), self.rule, r"\0 ")
+        split = iter(self.parts.joined(pc.ascii_split_whitespace(parts)))
+        others = _listed(words.filter(pc.invert(latin)).view(pa.binary()))
+        got = iter(self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False))
+        return [next(split) if x else array("I", next(got).ids).tobytes() for x in _listed(latin)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        here = {w for words in split for w in words}
-        if len(self.known) + len(here) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
-        missing = [w for w in here if w not in self.known]
-        new = [w for w in missing if w not in self.old]
-        self.known.update((w, self.old[w]) for w in missing if w in self.old)
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                del self.known[w]
-        return out
+        return self.known.joined(pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string())))
 
 
 @lru_cache(maxsize=1)
@@ -107,6 +126,20 @@ def encoder(model: str) -> Encoder:
     return Encoder(model)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to TOGETHER bytes, as small ones would look common words up again and again; a larger one stays alone."""
+    some, size = [], 0
+    for b in batches:
+        more = b.nbytes + 64 * b.num_rows  # what rows take as Python's objects
+        if some and size + more > TOGETHER:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+        some.append(b)
+        size += more
+    if some:
+        yield pa.concat_batches(some)
+
+
 def tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Each document's tokens with its end id: n, and the checksums of its full sequences and of its tail, whose ids come along.
 
@@ -118,10 +151,10 @@ def tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, first = encoder(model.value), 0
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
+        for b in gathered(batches):
+            texts = [t or b"" for t in _listed(b.column(1))]
             n, before, checks, tails, tail_crc = [], [], [], [], []
-            for part in groups(texts):
+            for part in groups(texts, TOGETHER):
                 for ids in coder.encode(texts[part]):
                     ids += last
                     full = len(ids) // width

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import connect, differences
 from test_corpus import CLASH, no_docs, odd_docs
@@ -285,6 +286,37 @@ def test_encoder_forgets_and_learns_again(tokenizer, monkeypatch):
     assert len(coder.parts) <= 400
 
 
+def test_encoder_merges_no_part_again_that_either_generation_holds(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    coder = packing.Encoder(open(registry.model_file(registry.WORD_MODEL), encoding="utf-8").read())
+    merge, merged = coder.merge, []
+    coder.merge = lambda text: merged.append(text) or merge(text)
+    first, more = [chr(97 + i % 26) + chr(97 + i // 26) + "qx" for i in range(45)], ["zz" + chr(97 + i) for i in range(20)]
+    for words in (first, more, [w.title() for w in first], [w.upper() for w in more]):
+        coder.encode([" ".join(words).encode()])
+    assert sorted(filter(None, merged)) == sorted(first + more)
+
+
+def test_encoder_on_every_latin_character_and_odd_bytes(tokenizer):
+    coder = packing.Encoder(open(registry.model_file(registry.WORD_MODEL), encoding="utf-8").read())
+    signs = [chr(i) for i in range(1, 0x250)]
+    texts = [f"{x} a{x} {x}B 1{x}2 .{x}! {x}{x}'s" for x in signs]
+    texts += ["", " ", "\n a  b\t", "x" * 500 + " y", "é" * 90, "<|endoftext|>a <|startoftext|", "e\u0301 'S we'LL", "\u1e9e ẞß ǅ \u3000漢"]
+    for t, ids in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    odd = [b"\xff", b"a\xc3 b", b"ok \xe4\xb8", b"\xed\xa0\x80x"]
+    for t, ids in zip(odd, coder.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
+    assert coder.encode([]) == [] and coder.encode([b"", b" "]) == [b"", b""]
+
+
+def test_small_batches_are_encoded_together(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [b"a" * n]}) for i, n in enumerate([10, 0, 30, 9_000, 20, 40])]
+    monkeypatch.setattr(packing, "TOGETHER", 1_000)
+    assert [b.column(0).to_pylist() for b in packing.gathered(iter(batches))] == [[0, 1, 2], [3], [4, 5]]
+    assert list(packing.gathered(iter([]))) == []
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_filling_against_all_subsets(seed):
     """The company of the longest piece leaves the least slack that any subset of the others leaves."""
